@@ -81,6 +81,12 @@ def _whole(number: int) -> Column:
     return F.lit(number).cast("decimal(38,0)")
 
 
+def whole_division(value: Column, unit: Column) -> Column:
+    """value / unit cut to a whole number; 0 where the unit is 0."""
+    safe = F.when(unit == 0, _whole(1)).otherwise(unit.cast("decimal(38,0)"))
+    return F.when(unit == 0, _whole(0)).otherwise(_split(value, safe)[0])
+
+
 def rate_atoms(price: Column) -> Column:
     """Rate text per million to whole atoms (nine decimals), NULL when out of form or range."""
     shaped = price.rlike(r"^(0|[1-9][0-9]{0,6})(\.[0-9]{1,9})?$")
