@@ -1,160 +1,128 @@
-"""Usage vectors as column expressions: validation, totals and differences.
+"""Usage vectors in SQL expressions: validation, totals and differences.
 
-A vector is six nullable counts. NULL means unknown and is never read as zero.
+A vector is six nullable counts. NULL means unknown and is never read as zero. Every
+function takes the name of a struct column (or "" when the counts are plain columns) and
+returns SQL text, so that one expression costs one call to the JVM when a plan is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-from tallyline.model import ACCOUNTING_V1, ACCOUNTING_V2, VECTOR, VECTOR_FIELDS
+from tallyline.model import ACCOUNTING_V1, ACCOUNTING_V2, VECTOR_FIELDS
 
 INVALID = "INVALID_USAGE"
 OVERFLOW = "NUMERIC_OVERFLOW"
 UNSUPPORTED = "UNSUPPORTED_FORMAT"
+AMBIGUOUS = "AMBIGUOUS_USAGE"
 MAX_LONG = 2**63 - 1
+VECTOR_TYPE = "struct<" + ",".join(f"{f}:bigint" for f in VECTOR_FIELDS) + ">"
 
 
-def _wide(column: Column) -> Column:
-    return column.cast("decimal(20,0)")
-
+def field(v: str, name: str) -> str:
+    return f"{v}.{name}" if v else name
 
-def from_columns(*names: str) -> Column:
-    """Pack columns (default: the standard names) into one vector struct."""
-    names = names or VECTOR_FIELDS
-    return F.struct(*[F.col(n).cast("long").alias(f) for n, f in zip(names, VECTOR_FIELDS)])
 
+def _wide(text: str) -> str:
+    return f"CAST({text} AS DECIMAL(20,0))"
 
-def null_vector() -> Column:
-    return F.lit(None).cast(VECTOR)
 
+def pack(**given: str) -> str:
+    """A vector struct from SQL text per field; fields not given are unknown."""
+    parts = [f"'{f}', CAST({given.get(f, 'NULL')} AS BIGINT)" for f in VECTOR_FIELDS]
+    return f"named_struct({', '.join(parts)})"
 
-def _false_if_null(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
 
+def pack_columns(prefix: str = "") -> str:
+    return pack(**{f: prefix + f for f in VECTOR_FIELDS})
 
-def _breaks_v1(v: Column) -> Column:
-    fields = [v[name] for name in VECTOR_FIELDS]
-    negative = F.least(*[F.coalesce(f, F.lit(0)) for f in fields]) < 0
-    contained = (
-        (v.cached_input > v.input_total)
-        | (v.cache_write_input > v.input_total)
-        | (_wide(v.cached_input) + _wide(v.cache_write_input) > _wide(v.input_total))
-    )
-    return (
-        negative
-        | _false_if_null(v.cached_input > v.input_total)
-        | _false_if_null(v.cache_write_input > v.input_total)
-        | _false_if_null(contained)
-        | _false_if_null(v.reasoning_output > v.output_total)
-    )
 
+def _breaks_containment(v: str) -> str:
+    i, c, w = (field(v, n) for n in ("input_total", "cached_input", "cache_write_input"))
+    o, r = field(v, "output_total"), field(v, "reasoning_output")
+    negative = " OR ".join(f"{field(v, n)} < 0" for n in VECTOR_FIELDS)
+    return f"coalesce({negative} OR {c} > {i} OR {w} > {i} OR {_wide(c)} + {_wide(w)} > {i} OR {r} > {o}, false)"
 
-def _sum_of_parts(v: Column) -> Column:
-    return _wide(v.input_total) + _wide(v.output_total)
 
-
-def _breaks_lower_bound(v: Column) -> Column:
-    """A known part bounds its unknown whole from below."""
-    zero = F.lit(0).cast("decimal(20,0)")
-    input_min = F.coalesce(
-        _wide(v.input_total),
-        F.coalesce(_wide(v.cached_input), zero) + F.coalesce(_wide(v.cache_write_input), zero),
+def total_error_v1(v: str) -> str:
+    """Error code of the first total rule, NULL when the vector is acceptable."""
+    parts = f"{_wide(field(v, 'input_total'))} + {_wide(field(v, 'output_total'))}"
+    return (
+        f"CASE WHEN {_breaks_containment(v)} THEN '{INVALID}'"
+        f" WHEN {parts} > {MAX_LONG} THEN '{OVERFLOW}'"
+        f" WHEN {parts} <> {field(v, 'reported_total')} THEN '{INVALID}' END"
     )
-    output_min = F.coalesce(_wide(v.output_total), _wide(v.reasoning_output), zero)
-    return _false_if_null(input_min + output_min > _wide(v.reported_total))
 
 
-def total_error_v1(v: Column) -> Column:
-    parts = _sum_of_parts(v)
-    return (
-        F.when(_breaks_v1(v), F.lit(INVALID))
-        .when(parts > F.lit(MAX_LONG), F.lit(OVERFLOW))
-        .when(parts != _wide(v.reported_total), F.lit(INVALID))
-    )
+def _breaks_lower_bound(v: str) -> str:
+    """A known part bounds its unknown whole from below."""
+    known = {n: f"coalesce({_wide(field(v, n))}, 0)" for n in ("cached_input", "cache_write_input")}
+    input_min = f"coalesce({_wide(field(v, 'input_total'))}, {known['cached_input']} + {known['cache_write_input']})"
+    output_min = f"coalesce({field(v, 'output_total')}, {field(v, 'reasoning_output')}, 0)"
+    return f"coalesce({input_min} + {output_min} > {field(v, 'reported_total')}, false)"
 
 
-def total_error(v: Column) -> Column:
+def total_error(v: str) -> str:
     """Error code of the current total rule, NULL when the vector is acceptable."""
-    return F.coalesce(total_error_v1(v), F.when(_breaks_lower_bound(v), F.lit(INVALID)))
+    return f"coalesce({total_error_v1(v)}, CASE WHEN {_breaks_lower_bound(v)} THEN '{INVALID}' END)"
 
 
-def _raw_total(v: Column) -> Column:
-    return F.coalesce(F.try_add(v.input_total, v.output_total), v.reported_total)
+def raw_total(v: str) -> str:
+    both = f"try_add({field(v, 'input_total')}, {field(v, 'output_total')})"
+    return f"coalesce({both}, {field(v, 'reported_total')})"
 
 
-def validated_total_v1(v: Column) -> Column:
-    return F.when(total_error_v1(v).isNull(), _raw_total(v))
+def validated_total_v1(v: str) -> str:
+    return f"CASE WHEN {total_error_v1(v)} IS NULL THEN {raw_total(v)} END"
 
 
-def validated_total(v: Column) -> Column:
+def validated_total(v: str) -> str:
     """input + output, else the reported total, else NULL; NULL as well for a broken vector."""
-    return F.when(total_error(v).isNull(), _raw_total(v))
+    return f"CASE WHEN {total_error(v)} IS NULL THEN {raw_total(v)} END"
 
 
-def published_error(v: Column, version: Column) -> Column:
+def published_error(v: str, version: str) -> str:
     return (
-        F.when(version == ACCOUNTING_V2, total_error(v))
-        .when(version == ACCOUNTING_V1, total_error_v1(v))
-        .otherwise(F.lit(UNSUPPORTED))
+        f"CASE WHEN {version} = '{ACCOUNTING_V2}' THEN {total_error(v)}"
+        f" WHEN {version} = '{ACCOUNTING_V1}' THEN {total_error_v1(v)} ELSE '{UNSUPPORTED}' END"
     )
 
 
-def published_total(v: Column, version: Column) -> Column:
-    """Total under the version the fact was published with; any broken fact stops the query."""
+def published_total(v: str, version: str) -> str:
+    """Total under the version the fact was published with; a broken fact stops the query."""
     error = published_error(v, version)
-    return F.when(error.isNotNull(), F.raise_error(error).cast("long")).otherwise(_raw_total(v))
+    return f"CASE WHEN {error} IS NOT NULL THEN CAST(raise_error({error}) AS BIGINT) ELSE {raw_total(v)} END"
 
 
-def noncached_input(v: Column) -> Column:
+def noncached_input(v: str) -> str:
     """Input minus cached input when both are known; cache writes stay inside."""
-    return v.input_total - v.cached_input
+    return f"{field(v, 'input_total')} - {field(v, 'cached_input')}"
 
 
-def _field_difference(a: Column, b: Column) -> Column:
-    return F.try_subtract(a, b)
+def raw_difference(a: str, b: str) -> str:
+    return pack(**{n: f"try_subtract({field(a, n)}, {field(b, n)})" for n in VECTOR_FIELDS})
 
 
-def difference_error(a: Column, b: Column) -> Column:
-    """Why a - b is not a usable vector: differing masks, a shrinking field or a broken result."""
-    masks = F.lit(False)
-    shrinks = F.lit(False)
-    for name in VECTOR_FIELDS:
-        masks = masks | (a[name].isNull() != b[name].isNull())
-        shrinks = shrinks | _false_if_null(a[name] < b[name])
+def difference_error(a: str, b: str, difference: str) -> str:
+    """Why a - b (already in the struct column ``difference``) is not a usable vector."""
+    masks = " OR ".join(f"({field(a, n)} IS NULL) <> ({field(b, n)} IS NULL)" for n in VECTOR_FIELDS)
+    shrinks = " OR ".join(f"coalesce({field(a, n)} < {field(b, n)}, false)" for n in VECTOR_FIELDS)
     return (
-        F.when(a.isNull() | b.isNull() | masks, F.lit("AMBIGUOUS_USAGE"))
-        .when(shrinks, F.lit(INVALID))
-        .otherwise(total_error(raw_difference(a, b)))
+        f"CASE WHEN {a} IS NULL OR {b} IS NULL OR {masks} THEN '{AMBIGUOUS}'"
+        f" WHEN {shrinks} THEN '{INVALID}' ELSE {total_error(difference)} END"
     )
 
 
-def raw_difference(a: Column, b: Column) -> Column:
-    return F.struct(*[_field_difference(a[n], b[n]).alias(n) for n in VECTOR_FIELDS])
-
-
-def vector_subtract(a: Column, b: Column) -> Column:
-    """a - b, or NULL where the two cannot be compared."""
-    return F.when(difference_error(a, b).isNull(), raw_difference(a, b))
-
-
-def comparable(a: Column, b: Column) -> Column:
-    known = a.input_total.isNotNull() & a.output_total.isNotNull()
-    return known & b.input_total.isNotNull() & b.output_total.isNotNull()
-
-
-def same_vector(a: Column, b: Column) -> Column:
-    """Field-wise equality with NULL equal to NULL; two absent vectors are equal too."""
-    return a.eqNullSafe(b)
+def comparable(a: str, b: str) -> str:
+    known = [f"{field(v, n)} IS NOT NULL" for v in (a, b) for n in ("input_total", "output_total")]
+    return "(" + " AND ".join(known) + ")"
 
 
-def usage_vector_total(text: Column) -> Column:
+def usage_vector_total(text: str) -> str:
     """Total of a vector kept as JSON text, NULL when it cannot be proven."""
-    v = F.from_json(text, VECTOR, {"mode": "PERMISSIVE"})
-    return F.when(v.isNotNull(), validated_total(v))
+    v = f"from_json({text}, '{VECTOR_TYPE}')"
+    return f"transform(array({v}), v -> {validated_total('v')})[0]"
 
 
-def vector_key(v: Column) -> Column:
-    """A text key with one value per distinct vector, for joins on whole vectors."""
-    parts = [F.coalesce(v[n].cast("string"), F.lit("-")) for n in VECTOR_FIELDS]
-    return F.when(v.isNotNull(), F.concat_ws(",", *parts))
+def vector_key(v: str) -> str:
+    """A text with one value per distinct vector, for joins and hashing."""
+    parts = ", ".join(f"coalesce(CAST({field(v, n)} AS STRING), '-')" for n in VECTOR_FIELDS)
+    return f"CASE WHEN {v} IS NOT NULL THEN concat_ws(',', {parts}) END"

@@ -218,32 +218,53 @@ def with_catalog(selected: DataFrame, publications: DataFrame, revision: int) ->
         "versions", lambda v: (v.verified_at_ms <= at) & (v.until_ms.isNull() | (at < v.until_ms))
     )
     joined = joined.withColumn("reference", F.get(in_force, F.lit(0)))
-    reference, rule = F.col("reference"), F.col("rule")
-    owns_flat = F.coalesce(
-        (rule.origin == "offline") & (rule.priority == 0) & (rule.rule_id == reference.flat_rule_id), F.lit(False)
+    owns_flat = (
+        "coalesce(rule.origin = 'offline' AND rule.priority = 0 AND rule.rule_id = reference.flat_rule_id, false)"
     )
-    applies = reference.isNotNull() & (rule.isNull() | owns_flat)
-    confirmed = applies & F.col("actual_tier").isNotNull() & ~F.col("rule_ambiguous")
-    band = F.when(F.col("request_input.input_tokens") <= reference.short_context_max_input, "short").otherwise("long")
-    full = F.coalesce(F.col("request_input.binding") == "full_request", F.lit(False))
-    matching = F.filter(
-        F.col("reference.quotes"),
-        lambda q: (q.tier == F.col("actual_tier")) & ((q.context == "all") | (q.context == F.col("band"))),
+    quote_fits = "q.tier = actual_tier AND (q.context = 'all' OR q.context = band)"
+    rule_fields = ", ".join(f"'{f}', quote.{f}" for f in (*P.RULE_FIELDS, "rank"))
+    return (
+        joined.withColumns(
+            {
+                "owns_flat": F.expr(owns_flat),
+                "band": F.expr(
+                    "CASE WHEN request_input.input_tokens <= reference.short_context_max_input"
+                    " THEN 'short' ELSE 'long' END"
+                ),
+            }
+        )
+        .withColumns(
+            {
+                "confirmed": F.expr(
+                    "reference IS NOT NULL AND (rule IS NULL OR owns_flat)"
+                    " AND actual_tier IS NOT NULL AND NOT rule_ambiguous"
+                ),
+                "quote": F.expr(
+                    "CASE WHEN request_input.binding = 'full_request'"
+                    f" THEN get(filter(reference.quotes, q -> {quote_fits}), 0) END"
+                ),
+            }
+        )
+        .withColumns(
+            {
+                "conditions_missing": F.expr(
+                    "CASE WHEN confirmed THEN quote IS NULL ELSE rule IS NULL AND reference IS NOT NULL"
+                    " AND reference.flat_rule_id IS NULL END"
+                ),
+                "selection": F.expr(
+                    "CASE WHEN confirmed THEN CASE WHEN quote IS NOT NULL THEN 'request' END"
+                    " WHEN owns_flat THEN 'offline_standard' WHEN rule IS NOT NULL THEN 'rule' END"
+                ),
+                "reference_catalog_id": F.expr("CASE WHEN confirmed OR owns_flat THEN reference.catalog_id END"),
+                "quote_context": F.expr("CASE WHEN confirmed THEN quote.context END"),
+                "rule": F.expr(
+                    f"CASE WHEN confirmed THEN CASE WHEN quote IS NOT NULL THEN named_struct({rule_fields}) END"
+                    " ELSE rule END"
+                ),
+            }
+        )
+        .drop("versions", "pub_provider", "pub_model", "reference", "quote", "band", "owns_flat", "confirmed")
     )
-    joined = joined.withColumn("band", band).withColumn("quote", F.when(full, F.get(matching, F.lit(0))))
-    as_rule = F.struct(*[F.col(f"quote.{f}").alias(f) for f in P.RULE_FIELDS], F.col("quote.rank").alias("rank"))
-    only_conditional = rule.isNull() & reference.isNotNull() & reference.flat_rule_id.isNull()
-    return joined.withColumns(
-        {
-            "conditions_missing": F.when(confirmed, F.col("quote").isNull()).otherwise(only_conditional),
-            "selection": F.when(confirmed & F.col("quote").isNotNull(), F.lit("request"))
-            .when(~confirmed & owns_flat, F.lit("offline_standard"))
-            .when(rule.isNotNull() & ~confirmed, F.lit("rule")),
-            "reference_catalog_id": F.when(confirmed | owns_flat, reference.catalog_id),
-            "quote_context": F.col("quote.context"),
-            "rule": F.when(confirmed, F.when(F.col("quote").isNotNull(), as_rule)).otherwise(rule),
-        }
-    ).drop("versions", "pub_provider", "pub_model", "reference", "quote", "band")
 
 
 def explanation(priced: DataFrame) -> DataFrame:
@@ -266,34 +287,32 @@ def explanation(priced: DataFrame) -> DataFrame:
     )
 
 
-def request_input(evidence: Column, turn_id: Column, generation: Column, offset: Column,
-                  last: Column, cumulative: Column, consumption: Column) -> Column:
-    """Exact request input of an event, where the response record proves it.
+def request_input(evidence: str, turn_id: str, generation: str, offset: str,
+                  last: str, cumulative: str, consumption: str) -> str:
+    """Exact request input of an event, where the response record proves it (SQL text).
 
     ``evidence`` is a struct of response_id, turn_id, file_generation_id, byte_end, usage and
     thread_usage. The record must name the same turn, precede the usage in the same file and
     agree with its last and cumulative counts.
     """
-    def named(text: Column) -> Column:
-        return F.coalesce(F.length(text).between(1, 256) & ~text.rlike(r"\p{Cntrl}"), F.lit(False))
-
+    e = evidence
+    named = " AND ".join(
+        rf"length({e}.{c}) BETWEEN 1 AND 256 AND NOT {e}.{c} RLIKE '\\p{{Cntrl}}'" for c in ("response_id", "turn_id")
+    )
     agrees = (
-        named(evidence.response_id)
-        & named(evidence.turn_id)
-        & turn_id.eqNullSafe(evidence.turn_id)
-        & generation.eqNullSafe(evidence.file_generation_id)
-        & F.coalesce(evidence.byte_end <= offset, F.lit(False))
-        & V.same_vector(last, evidence.usage)
-        & V.same_vector(cumulative, evidence.thread_usage)
-        & evidence.usage.output_total.isNotNull()
-        & evidence.usage.input_total.isNotNull()
+        f"{turn_id} = {e}.turn_id AND {generation} = {e}.file_generation_id AND {e}.byte_end <= {offset}"
+        f" AND {last} <=> {e}.usage AND {cumulative} <=> {e}.thread_usage"
+        f" AND {e}.usage.output_total IS NOT NULL AND {e}.usage.input_total IS NOT NULL"
+    )
+    response, thread = V.validated_total(f"{e}.usage"), V.validated_total(f"{e}.thread_usage")
+    # The parts a response may not exceed its thread in; cache writes are not compared.
+    exceeds = " OR ".join(
+        f"coalesce({e}.usage.{n} > {e}.thread_usage.{n}, false)"
+        for n in ("input_total", "cached_input", "output_total", "reasoning_output")
     )
-    response, thread = V.validated_total(evidence.usage), V.validated_total(evidence.thread_usage)
-    within = F.coalesce(thread >= response, F.lit(False))
-    for name in ("input_total", "cached_input", "output_total", "reasoning_output"):
-        within = within & ~F.coalesce(evidence.usage[name] > evidence.thread_usage[name], F.lit(False))
-    usable = evidence.isNotNull() & agrees & within & V.validated_total(consumption).isNotNull()
-    binding = F.when(V.same_vector(consumption, evidence.usage), F.lit("full_request")).otherwise(
-        F.lit("different_consumption")
+    binding = f"CASE WHEN {consumption} <=> {e}.usage THEN 'full_request' ELSE 'different_consumption' END"
+    return (
+        f"CASE WHEN {e} IS NOT NULL AND {named} AND {agrees} AND {thread} >= {response} AND NOT ({exceeds})"
+        f" AND {V.validated_total(consumption)} IS NOT NULL"
+        f" THEN named_struct('input_tokens', {e}.usage.input_total, 'binding', {binding}) END"
     )
-    return F.when(usable, F.struct(evidence.usage.input_total.alias("input_tokens"), binding.alias("binding")))

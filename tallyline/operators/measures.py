@@ -19,112 +19,118 @@ from tallyline.model import MEASURES
 LIMB_BITS = 21
 LIMB_MASK = (1 << LIMB_BITS) - 1
 DEC = "decimal(38,0)"
+KNOWN_TURN = "(turn_id IS NOT NULL AND turn_id <> '')"
 
 
-def limb_sums(value: Column, name: str) -> list[Column]:
-    """Partial-sum columns of a non-negative long."""
-    checked = F.when(value < 0, F.raise_error(F.lit("INVALID_USAGE")).cast("long")).otherwise(value)
+def limb_sums(value: str, name: str) -> list[Column]:
+    """Partial-sum columns of a non-negative long, given as SQL text."""
     return [
-        F.sum(F.shiftright(checked, 2 * LIMB_BITS)).alias(f"{name}__2"),
-        F.sum(F.shiftright(checked, LIMB_BITS).bitwiseAND(F.lit(LIMB_MASK))).alias(f"{name}__1"),
-        F.sum(checked.bitwiseAND(F.lit(LIMB_MASK))).alias(f"{name}__0"),
+        F.expr(f"sum(shiftright({value}, {2 * LIMB_BITS})) AS {name}__2"),
+        F.expr(f"sum(shiftright({value}, {LIMB_BITS}) & {LIMB_MASK}) AS {name}__1"),
+        F.expr(f"sum(({value}) & {LIMB_MASK}) AS {name}__0"),
     ]
 
 
-def from_limbs(name: str) -> Column:
-    high, mid, low = (F.col(f"{name}__{i}").cast("decimal(20,0)") for i in (2, 1, 0))
-    scale = F.lit(1 << LIMB_BITS).cast("decimal(8,0)")
-    return (((high * scale).cast("decimal(30,0)") + mid).cast(DEC) * scale + low).cast(DEC)
+def from_limbs(name: str) -> str:
+    high, mid, low = (f"CAST({name}__{i} AS DECIMAL(20,0))" for i in (2, 1, 0))
+    scale = f"CAST({1 << LIMB_BITS} AS DECIMAL(8,0))"
+    return f"CAST(CAST({high} * {scale} + {mid} AS DECIMAL(30,0)) * {scale} + {low} AS {DEC})"
 
 
-def exact_sum(df: DataFrame, keys: list, sums: dict[str, Column], *others: Column) -> DataFrame:
-    """groupBy(keys) with exact decimal sums of long columns; NULL where no value was known."""
+def exact_sum(df: DataFrame, keys: list[str], sums: dict[str, str], others: list[str] = []) -> DataFrame:
+    """groupBy(keys) with exact decimal sums of longs (SQL text); NULL where no value is known.
+
+    ``others`` are further aggregates as "expression AS name". Values must not be negative.
+    """
     aggregates = [part for name, value in sums.items() for part in limb_sums(value, name)]
-    grouped = df.groupBy(*keys).agg(*aggregates, *others)
-    limbs = {f"{name}__{i}" for name in sums for i in range(3)}
-    kept = [c for c in grouped.columns if c not in limbs]
-    return grouped.select(*kept, *[from_limbs(name).alias(name) for name in sums])
+    grouped = df.groupBy(*keys).agg(*aggregates, *[F.expr(o) for o in others])
+    names = [o.rsplit(" AS ", 1)[1] for o in others]
+    return grouped.selectExpr(*keys, *names, *[f"{from_limbs(name)} AS {name}" for name in sums])
 
 
 def with_noncached(facts: DataFrame) -> DataFrame:
-    return facts.withColumn("noncached_input", F.col("input_total") - F.col("cached_input"))
-
-
-def known_turn(turn: str = "turn_id") -> Column:
-    return F.col(turn).isNotNull() & (F.col(turn) != "")
+    return facts.withColumn("noncached_input", F.expr("input_total - cached_input"))
 
 
 def measure_sums(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: the total, each measure with the tokens it covers, and the counts."""
-    total = F.col("total_tokens")
-    sums: dict[str, Column] = {"total_tokens": total}
-    known = []
+    sums = {"total_tokens": "total_tokens"}
+    others = ["count(1) AS usage_event_count", f"count(CASE WHEN {KNOWN_TURN} THEN 1 END) AS turn_event_count"]
     for m in MEASURES:
-        sums[m] = F.col(m)
-        sums[f"{m}_covered"] = F.when(F.col(m).isNotNull(), total)
-        known.append(F.count(m).alias(f"{m}_known"))
-    return exact_sum(
-        with_noncached(facts),
-        keys,
-        sums,
-        *known,
-        F.count(F.lit(1)).alias("usage_event_count"),
-        F.count(F.when(known_turn(), 1)).alias("turn_event_count"),
-    )
+        sums[m] = m
+        sums[f"{m}_covered"] = f"CASE WHEN {m} IS NOT NULL THEN total_tokens END"
+        others.append(f"count({m}) AS {m}_known")
+    return exact_sum(with_noncached(facts), keys, sums, others)
 
 
 def distinct_counts(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct sessions and distinct (session, turn) pairs per group."""
-    turn = F.when(known_turn(), F.col("turn_id")).alias("turn_id")
-    pairs = facts.select(*keys, "session_key", turn).distinct()
-    per_session = pairs.groupBy(*keys, "session_key").agg(F.count("turn_id").alias("turns"))
+    pairs = facts.selectExpr(*keys, "session_key", f"CASE WHEN {KNOWN_TURN} THEN turn_id END AS turn_id").distinct()
+    per_session = pairs.groupBy(*dict.fromkeys([*keys, "session_key"])).agg(F.expr("count(turn_id) AS turns"))
+    if "session_key" in keys:
+        return per_session.selectExpr(*keys, "CAST(1 AS BIGINT) AS session_count", "turns AS turn_count")
     return per_session.groupBy(*keys).agg(
-        F.count("session_key").alias("session_count"), F.sum("turns").alias("turn_count")
+        F.expr("count(session_key) AS session_count"), F.expr("sum(turns) AS turn_count")
     )
 
 
 PARTIAL_SUMS = ("total_tokens", *MEASURES, *[f"{m}_covered" for m in MEASURES])
-PARTIAL_COUNTS = (*[f"{m}_known" for m in MEASURES], "usage_event_count", "turn_event_count")
+PARTIAL_COUNTS = ("usage_event_count", "turn_event_count", *[f"{m}_known" for m in MEASURES])
+COUNTS = (*PARTIAL_COUNTS, "session_count", "turn_count")
 
 
 def merge_partials(partials: DataFrame, keys: list[str]) -> DataFrame:
     """Add up partial sums of the same group; partials carry decimals already."""
     return partials.groupBy(*keys).agg(
-        *[F.sum(F.col(c).cast(DEC)).alias(c) for c in PARTIAL_SUMS],
-        *[F.sum(c).alias(c) for c in PARTIAL_COUNTS],
-        F.sum("session_count").alias("session_count"),
-        F.sum("turn_count").alias("turn_count"),
+        *[F.expr(f"sum(CAST({c} AS {DEC})) AS {c}") for c in PARTIAL_SUMS],
+        *[F.expr(f"sum({c}) AS {c}") for c in COUNTS],
     )
 
 
-def present_totals(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """Final totals columns. A value nobody knew stays NULL; nothing is complete when empty."""
-    zero = F.lit(0).cast(DEC)
-    events = F.coalesce(F.col("usage_event_count"), F.lit(0))
-    columns = [F.coalesce("total_tokens", zero).alias("total_tokens")]
+def totals_expressions() -> list[str]:
+    """Final totals columns over merged partials (all NULL for a group without facts).
+
+    A value nobody knew stays NULL; nothing is complete when there are no events.
+    """
+    zero, events = f"CAST(0 AS {DEC})", "coalesce(usage_event_count, 0L)"
+    columns = [f"coalesce(total_tokens, {zero}) AS total_tokens"]
     for m in MEASURES:
         columns += [
-            F.col(m),
-            F.coalesce(f"{m}_covered", zero).alias(f"{m}_covered"),
-            ((events > 0) & (F.coalesce(F.col(f"{m}_known"), F.lit(0)) == events)).alias(f"{m}_complete"),
+            f"{m}",
+            f"coalesce({m}_covered, {zero}) AS {m}_covered",
+            f"({events} > 0 AND coalesce({m}_known, 0L) = {events}) AS {m}_complete",
         ]
-    turns = F.coalesce(F.col("turn_count"), F.lit(0))
-    columns += [
-        F.coalesce("session_count", F.lit(0)).cast("long").alias("session_count"),
-        events.cast("long").alias("usage_event_count"),
-        F.when(turns > 0, turns).cast("long").alias("reliable_turn_count"),
-        ((events > 0) & (F.coalesce(F.col("turn_event_count"), F.lit(0)) == events)).alias(
-            "reliable_turns_complete"
-        ),
+    return columns + [
+        "coalesce(session_count, 0L) AS session_count",
+        f"{events} AS usage_event_count",
+        "nullif(turn_count, 0L) AS reliable_turn_count",
+        f"({events} > 0 AND coalesce(turn_event_count, 0L) = {events}) AS reliable_turns_complete",
     ]
-    return merged.select(*keys, *columns)
+
+
+TOTALS_COLUMNS = (
+    "total_tokens",
+    *[f"{m}{suffix}" for m in MEASURES for suffix in ("", "_covered", "_complete")],
+    "session_count",
+    "usage_event_count",
+    "reliable_turn_count",
+    "reliable_turns_complete",
+)
+
+
+def present_totals(merged: DataFrame, keys: list[str], *extra: str) -> DataFrame:
+    return merged.selectExpr(*keys, *extra, *totals_expressions())
+
+
+def partials_by(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Mergeable partial sums and counts of each group."""
+    sums, counts = measure_sums(facts, keys), distinct_counts(facts, keys)
+    return sums.unionByName(counts, allowMissingColumns=True)
 
 
 def totals_by(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Totals per group; NULL is a group of its own."""
-    sums, counts = measure_sums(facts, keys), distinct_counts(facts, keys)
-    partials = sums.unionByName(counts, allowMissingColumns=True)
-    return present_totals(merge_partials(partials, keys), keys)
+    return present_totals(merge_partials(partials_by(facts, keys), keys), keys)
 
 
 def totals(facts: DataFrame) -> DataFrame:
@@ -132,20 +138,23 @@ def totals(facts: DataFrame) -> DataFrame:
     return totals_by(facts, [])
 
 
-def sum_token_decimal(column: Column) -> Column:
+def sum_token_decimal(column: str) -> Column:
     """Exact sum of known non-negative counts, NULL when there is none."""
-    checked = F.when(column < 0, F.raise_error(F.lit("INVALID_USAGE")).cast("long")).otherwise(column)
-    return F.sum(checked.cast(DEC))
+    checked = f"CASE WHEN {column} < 0 THEN CAST(raise_error('INVALID_USAGE') AS BIGINT) ELSE {column} END"
+    return F.expr(f"sum(CAST({checked} AS {DEC}))")
 
 
-def sum_money_atoms(column: Column) -> Column:
-    return F.sum(column.cast(DEC))
+def sum_money_atoms(column: str) -> Column:
+    return F.expr(f"sum(CAST({column} AS {DEC}))")
 
 
 def text_decimals(df: DataFrame) -> DataFrame:
     """Decimals as canonical digit strings: the form answers are given in."""
-    shown = [
-        F.col(f.name).cast("string").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name)
-        for f in df.schema.fields
-    ]
-    return df.select(*shown)
+    if not any(f.dataType.typeName() == "decimal" for f in df.schema.fields):
+        return df
+    return df.selectExpr(
+        *[
+            f"CAST(`{f.name}` AS STRING) AS `{f.name}`" if f.dataType.typeName() == "decimal" else f"`{f.name}`"
+            for f in df.schema.fields
+        ]
+    )

@@ -11,7 +11,7 @@ and multiplied by the rates once per (group, rule), not once per event.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyline.functions import text as X, vectors as V
 from tallyline.model import MAX_ALIASES, MAX_PRICE_RULES
@@ -84,13 +84,6 @@ def with_canonical_model(events: DataFrame, aliases: DataFrame, revision: int) -
     ).drop("alias_provider", "alias_model", "targets")
 
 
-def _usable(rule: Column, at: Column, sources: Column) -> Column:
-    started = rule.effective_from_ms <= at
-    running = rule.effective_to_ms.isNull() | (at < rule.effective_to_ms)
-    seen = rule.source_id.isNull() | F.array_contains(sources, F.coalesce(rule.source_id, F.lit("")))
-    return started & running & seen
-
-
 def with_best_rule(events: DataFrame, rules: DataFrame, revision: int, specified_ms: int | None = None) -> DataFrame:
     """Add price_at_ms, rule (struct or NULL) and rule_ambiguous (several at the top rank)."""
     at = F.lit(specified_ms).cast("long") if specified_ms is not None else F.col("occurred_at_ms")
@@ -100,85 +93,72 @@ def with_best_rule(events: DataFrame, rules: DataFrame, revision: int, specified
         (F.col("provider") == F.col("rate_provider")) & (F.col("canonical_model") == F.col("rate_model")),
         "left",
     )
-    # source_ids is read as a whole-row column inside the lambda.
-    live = F.filter("rules", lambda r: _usable(r, F.col("price_at_ms"), F.col("source_ids")))
-    top = F.filter(F.col("live"), lambda r: r["rank"] == F.array_max(F.transform(F.col("live"), lambda x: x["rank"])))
+    usable = (
+        "r.effective_from_ms <= price_at_ms AND (r.effective_to_ms IS NULL OR price_at_ms < r.effective_to_ms)"
+        " AND (r.source_id IS NULL OR array_contains(source_ids, r.source_id))"
+    )
     return (
-        joined.withColumn("live", live)
-        .withColumn("top", top)
+        joined.withColumn("live", F.expr(f"filter(rules, r -> {usable})"))
+        .withColumn("top_rank", F.expr("array_max(transform(live, r -> r.rank))"))
+        .withColumn("top", F.expr("filter(live, r -> r.rank = top_rank)"))
         .withColumns(
             {
-                "rule_ambiguous": F.col("alias_ambiguous") | F.coalesce(F.size("top") > 1, F.lit(False)),
-                "rule": F.when(F.size("top") == 1, F.get("top", F.lit(0))),
+                "rule_ambiguous": F.expr("alias_ambiguous OR coalesce(size(top) > 1, false)"),
+                "rule": F.expr("CASE WHEN size(top) = 1 THEN top[0] END"),
             }
         )
-        .drop("rate_provider", "rate_model", "rules", "live", "top", "alias_ambiguous")
+        .drop("rate_provider", "rate_model", "rules", "live", "top", "top_rank", "alias_ambiguous")
     )
 
 
-def charged_parts(v: Column, rule: Column) -> dict[str, Column]:
-    """Token quantities charged at each rate; meaningful where ``usage_gap`` is NULL."""
-    cached, write = F.coalesce(v.cached_input, F.lit(0)), F.coalesce(v.cache_write_input, F.lit(0))
-    return {
-        "charged_input": F.try_subtract(F.try_subtract(v.input_total, cached), write),
-        "charged_cached": cached.cast("long"),
-        "charged_write": write.cast("long"),
-        "charged_output": v.output_total,
-    }
+PARTS = ("charged_input", "charged_cached", "charged_write", "charged_output")
+RATES = ("input_rate_atoms", "cached_rate_atoms", "cache_write_rate_atoms", "output_rate_atoms")
+
+# Token quantities charged at each rate, over plain vector columns; meaningful where no gap is.
+CHARGED = {
+    "charged_input": "try_subtract(try_subtract(input_total, coalesce(cached_input, 0)), coalesce(cache_write_input, 0))",
+    "charged_cached": "coalesce(cached_input, 0L)",
+    "charged_write": "coalesce(cache_write_input, 0L)",
+    "charged_output": "output_total",
+}
 
 
-def _unknown_part_matters(quantity: Column, rate: Column, rule: Column, remaining: Column, is_write: bool) -> Column:
+def _part_blocks(quantity: str, rate: str, unrated_is_harmless: bool) -> str:
     """A part blocks pricing when it is charged without a rate, or unknown and able to matter."""
-    same_rate = F.coalesce(rate == rule.input_rate_atoms, F.lit(False))
-    harmless = (remaining == 0) | same_rate
-    if is_write:
-        harmless = harmless | rate.isNull()
-    no_rate = quantity.isNotNull() & (quantity != 0) & rate.isNull()
-    return no_rate | (quantity.isNull() & ~harmless)
-
-
-def usage_gap(v: Column, rule: Column) -> Column:
-    """Why a vector cannot be priced with a rule, or NULL."""
-    error = V.total_error(v)
-    remaining = charged_parts(v, rule)["charged_input"]
-    lacking = (
-        error.isNotNull()
-        | V.validated_total(v).isNull()
-        | v.input_total.isNull()
-        | v.output_total.isNull()
-        | F.coalesce(remaining < 0, F.lit(True))
-        | _unknown_part_matters(v.cached_input, rule.cached_rate_atoms, rule, remaining, False)
-        | _unknown_part_matters(v.cache_write_input, rule.cache_write_rate_atoms, rule, remaining, True)
+    harmless = f"remaining = 0 OR coalesce(rule.{rate} = rule.input_rate_atoms, false)"
+    if unrated_is_harmless:
+        harmless += f" OR rule.{rate} IS NULL"
+    return (
+        f"(coalesce({quantity} <> 0, false) AND rule.{rate} IS NULL)"
+        f" OR ({quantity} IS NULL AND NOT coalesce({harmless}, false))"
     )
-    return F.when(error == V.OVERFLOW, F.lit(OVERFLOW)).when(lacking, F.lit(INSUFFICIENT_USAGE))
-
-
-def cost_atoms(parts: dict[str, Column], rule: Column) -> Column:
-    """Exact cost; a part without a rate contributes only when it is zero."""
 
-    def charge(tokens: Column, rate: Column) -> Column:
-        return (tokens.cast("decimal(20,0)") * F.coalesce(rate, F.lit(0)).cast("decimal(16,0)")).cast(DEC)
 
+def usage_gap() -> str:
+    """Why a vector cannot be priced with its rule, or NULL; reads remaining and vector_error."""
+    lacking = " OR ".join(
+        [
+            "vector_error IS NOT NULL",
+            "input_total IS NULL",
+            "output_total IS NULL",
+            "coalesce(remaining < 0, true)",
+            _part_blocks("cached_input", "cached_rate_atoms", False),
+            _part_blocks("cache_write_input", "cache_write_rate_atoms", True),
+        ]
+    )
     return (
-        charge(parts["charged_input"], rule.input_rate_atoms)
-        + charge(parts["charged_cached"], rule.cached_rate_atoms)
-        + charge(parts["charged_write"], rule.cache_write_rate_atoms)
-        + charge(parts["charged_output"], rule.output_rate_atoms)
-    ).cast(DEC)
-
-
-def event_vector() -> Column:
-    return V.from_columns()
+        f"CASE WHEN vector_error = '{V.OVERFLOW}' THEN '{OVERFLOW}'"
+        f" WHEN {lacking} THEN '{INSUFFICIENT_USAGE}' END"
+    )
 
 
-def outcome_reason(v: Column) -> Column:
+def outcome_reason() -> str:
     """Reason of an unpriced event in order of precedence; NULL means priced."""
     return (
-        F.when(F.col("provider").isNull() | F.col("model").isNull(), F.lit(UNKNOWN_MODEL))
-        .when(F.col("rule_ambiguous"), F.lit(AMBIGUOUS_RULE))
-        .when(F.coalesce(F.col("conditions_missing"), F.lit(False)), F.lit(INCOMPLETE_CONDITIONS))
-        .when(F.col("rule").isNull(), F.lit(MISSING_RULE))
-        .otherwise(usage_gap(v, F.col("rule")))
+        f"CASE WHEN provider IS NULL OR model IS NULL THEN '{UNKNOWN_MODEL}'"
+        f" WHEN rule_ambiguous THEN '{AMBIGUOUS_RULE}'"
+        f" WHEN conditions_missing THEN '{INCOMPLETE_CONDITIONS}'"
+        f" WHEN rule IS NULL THEN '{MISSING_RULE}' ELSE {usage_gap()} END"
     )
 
 
@@ -192,13 +172,11 @@ def select_rules(
 
 def with_outcome(selected: DataFrame) -> DataFrame:
     """Add reason (NULL = priced) and the charged quantities; keeps ``rule`` for explanation."""
-    v = event_vector()
-    return selected.withColumn("reason", outcome_reason(v)).withColumns(
-        {
-            name: F.when(F.col("reason").isNull(), part)
-            for name, part in charged_parts(v, F.col("rule")).items()
-        }
-    )
+    judged = selected.withColumns(
+        {"vector_error": F.expr(V.total_error("")), "remaining": F.expr(CHARGED["charged_input"])}
+    ).withColumn("reason", F.expr(outcome_reason()))
+    charged = {n: F.expr(f"CASE WHEN reason IS NULL THEN {text} END") for n, text in CHARGED.items()}
+    return judged.withColumns(charged).drop("vector_error", "remaining")
 
 
 def price_events(
@@ -208,49 +186,39 @@ def price_events(
     return with_outcome(select_rules(events, rules, aliases, revision, specified_ms))
 
 
-PARTS = ("charged_input", "charged_cached", "charged_write", "charged_output")
+def _charges(digits: int, rate_prefix: str) -> str:
+    """Exact cost of the charged quantities; a part without a rate counts only when it is zero."""
+    terms = [
+        f"CAST(CAST({part} AS DECIMAL({digits},0)) * coalesce({rate_prefix}{rate}, 0) AS {DEC})"
+        for part, rate in zip(PARTS, RATES)
+    ]
+    return f"CAST({' + '.join(terms)} AS {DEC})"
 
 
 def with_cost(priced: DataFrame) -> DataFrame:
     """Cost of each event, for answers that list events."""
-    atoms = cost_atoms({p: F.col(p) for p in PARTS}, F.col("rule"))
     return priced.withColumns(
         {
-            "cost_atoms": F.when(F.col("reason").isNull(), atoms),
-            "rule_id": F.when(F.col("reason").isNull(), F.col("rule.rule_id")),
-            "currency": F.when(F.col("reason").isNull(), F.col("rule.currency")),
+            "cost_atoms": F.expr(f"CASE WHEN reason IS NULL THEN {_charges(20, 'rule.')} END"),
+            "rule_id": F.expr("CASE WHEN reason IS NULL THEN rule.rule_id END"),
+            "currency": F.expr("CASE WHEN reason IS NULL THEN rule.currency END"),
         }
     )
 
 
 def _per_rule(priced: DataFrame, keys: list[str]) -> DataFrame:
     """One row per (group, rule or reason): event count, tokens and cost."""
-    is_priced = F.col("reason").isNull()
-    rate_names = ("input_rate_atoms", "cached_rate_atoms", "cache_write_rate_atoms", "output_rate_atoms")
-    rated = priced.select(
-        *keys,
-        "reason",
-        "total_tokens",
-        *PARTS,
-        F.when(is_priced, F.col("rule.rule_id")).alias("rule_id"),
-        F.when(is_priced, F.col("rule.currency")).alias("currency"),
-        *[F.when(is_priced, F.col(f"rule.{r}")).alias(r) for r in rate_names],
-    )
-    sums = {"tokens": F.col("total_tokens"), **{p: F.col(p) for p in PARTS}}
+    from_rule = [f"CASE WHEN reason IS NULL THEN rule.{c} END AS {c}" for c in ("rule_id", "currency", *RATES)]
+    rated = priced.selectExpr(*keys, "reason", "total_tokens", *PARTS, *from_rule)
     grouped = exact_sum(
         rated,
         [*keys, "reason", "rule_id", "currency"],
-        sums,
-        F.count(F.lit(1)).alias("events"),
-        *[F.max(r).alias(r) for r in rate_names],
+        {"tokens": "total_tokens", **{p: p for p in PARTS}},
+        ["count(1) AS events", *[f"max({r}) AS {r}" for r in RATES]],
     )
-
-    def charge(part: str, rate: str) -> Column:
-        # A group's token sum fits 20 digits far beyond any table size, so this stays exact.
-        return (F.col(part).cast("decimal(22,0)") * F.coalesce(rate, F.lit(0).cast("decimal(16,0)"))).cast(DEC)
-
-    atoms = sum((charge(p, r) for p, r in zip(PARTS, rate_names)), F.lit(0).cast(DEC)).cast(DEC)
-    return grouped.select(*keys, "reason", "rule_id", "currency", "events", "tokens", atoms.alias("cost_atoms"))
+    # A group's token sum stays within 22 digits far beyond any table size.
+    cost = f"CASE WHEN reason IS NULL THEN {_charges(22, '')} END AS cost_atoms"
+    return grouped.selectExpr(*keys, "reason", "rule_id", "currency", "events", "tokens", cost)
 
 
 def currency_totals(priced: DataFrame, keys: list[str] = []) -> DataFrame:
