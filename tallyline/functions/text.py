@@ -44,9 +44,8 @@ def event_id(ledger: Column, observation: Column) -> Column:
 
 def project_path(cwd: Column) -> Column:
     """Comparable path: drive and network paths fold case and slash direction."""
-    windows = cwd.rlike(r"^[A-Za-z]:[\\/]") | cwd.rlike(r"^(\\\\|//)")
-    folded = F.lower(F.translate(cwd, "\\", "/"))
-    return F.regexp_replace(F.when(windows, folded).otherwise(cwd), r"(?<=.)/+$", "")
+    windows = (F.substring(cwd, 2, 1) == ":") | cwd.startswith("\\\\")
+    return F.when(windows, F.lower(F.translate(cwd, "\\", "/"))).otherwise(cwd)
 
 
 def project_id(cwd: Column) -> Column:
@@ -54,8 +53,8 @@ def project_id(cwd: Column) -> Column:
 
 
 def project_name(cwd: Column) -> Column:
-    last = F.regexp_extract(F.regexp_replace(cwd, r"[\\/]+$", ""), r"([^\\/]+)$", 1)
-    return F.when(F.length(last) > 0, last).otherwise(cwd)
+    """Last part of a path, whichever way its slashes lean."""
+    return F.regexp_extract(F.regexp_replace(cwd, r"[\\/]+$", ""), r"([^\\/]*)$", 1)
 
 
 def is_canonical_integer(text: Column) -> Column:

@@ -65,8 +65,9 @@ def measure_sums(facts: DataFrame, keys: list[str]) -> DataFrame:
 
 def distinct_counts(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct sessions and distinct (session, turn) pairs per group."""
-    pairs = facts.selectExpr(*keys, "session_key", f"CASE WHEN {KNOWN_TURN} THEN turn_id END AS turn_id").distinct()
-    per_session = pairs.groupBy(*dict.fromkeys([*keys, "session_key"])).agg(F.expr("count(turn_id) AS turns"))
+    ids = dict.fromkeys([*keys, "session_key"])
+    pairs = facts.selectExpr(*ids, f"CASE WHEN {KNOWN_TURN} THEN turn_id END AS known_turn").distinct()
+    per_session = pairs.groupBy(*ids).agg(F.expr("count(known_turn) AS turns"))
     if "session_key" in keys:
         return per_session.selectExpr(*keys, "CAST(1 AS BIGINT) AS session_count", "turns AS turn_count")
     return per_session.groupBy(*keys).agg(
