@@ -59,7 +59,7 @@ def parse_readings(readings: DataFrame) -> DataFrame:
     limit_id = f"coalesce(map_id, declared, '{LEGACY_LIMIT}')"
     bad = (
         f"bad_shape OR NOT {_kind('body')} LIKE 'OBJECT%' OR declared_kind NOT IN ('VOID', 'STRING')"
-        f" OR (declared IS NOT NULL AND NOT {_named('declared')}) OR map_id <> declared OR NOT {_named(limit_id)}"
+        f" OR (declared IS NOT NULL AND NOT {_named('declared')}) OR coalesce(map_id <> declared, false) OR NOT {_named(limit_id)}"
         + "".join(f" OR ({_kind(_at(w, 'body'))} <> 'VOID' AND NOT {_kind(_at(w, 'body'))} LIKE 'OBJECT%')" for w in WINDOWS)
     )
     checked = named.withColumn("limit_bad", F.expr(f"coalesce({bad}, true)"))

@@ -215,9 +215,9 @@ TIER = "CASE k % 6 WHEN 0 THEN 'standard' WHEN 1 THEN 'batch' WHEN 2 THEN 'flex'
     "catalog_priced_events",
     with_tables(
         f"""SELECT event_id, CASE WHEN provider IS DISTINCT FROM 'alpha' OR model IS NULL THEN 'other'
-          WHEN tier IS NULL THEN 'no_tier' WHEN NOT full_request THEN 'incomplete' WHEN q.model_exact IS NULL THEN 'incomplete'
+          WHEN f.tier IS NULL THEN 'no_tier' WHEN NOT full_request THEN 'incomplete' WHEN q.model_exact IS NULL THEN 'incomplete'
           ELSE q.catalog_id||'/'||q.tier||'/'||q.context END AS outcome,
-          CASE WHEN provider='alpha' AND tier IS NOT NULL AND full_request AND input_total IS NOT NULL AND q.model_exact IS NOT NULL
+          CASE WHEN provider='alpha' AND f.tier IS NOT NULL AND full_request AND input_total IS NOT NULL AND q.model_exact IS NOT NULL
             THEN q.input_rate END AS input_rate
         FROM (SELECT *, {TIER} AS tier, k%8<>7 AS full_request, occurred_at_ms>={rates.MID} AS late FROM facts WHERE model IS NOT NULL AND model='click' AND provider='alpha') f
         LEFT JOIN catalog_quotes q ON q.model_exact=f.model AND q.tier=f.tier
