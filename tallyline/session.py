@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Call-site capture costs a round trip per column expression when plans are built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -25,7 +27,9 @@ def build_session(app: str = "tallyline", master: str | None = None, **extra: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_SETTINGS, **extra}.items():
+    # Checkpoint files go when nothing refers to them any more.
+    startup = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    for key, value in {**startup, **RUNTIME_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
