@@ -42,9 +42,10 @@ def repoint_aliases(aliases: DataFrame, published_now: DataFrame) -> DataFrame:
     return kept.unionByName(published_now.select("alias_session_key", "canonical_session_key"))
 
 
-def parents(sessions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Each session with its parent, resolved through aliases, when the parent is published."""
-    linked = through_alias(sessions.select("session_key", "parent_key"), "parent_key", aliases)
+def parents(sessions: DataFrame, aliases: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Each (wanted) session with its parent, resolved through aliases, when the parent is published."""
+    asked = sessions if wanted is None else wanted
+    linked = through_alias(asked.select("session_key", "parent_key"), "parent_key", aliases)
     heads = published(sessions).select(
         F.col("session_key").alias("parent_key"),
         F.coalesce("provider_session_id", "session_key").alias("parent_display_name"),
@@ -68,6 +69,17 @@ def child_counts(sessions: DataFrame, aliases: DataFrame) -> DataFrame:
     return children(sessions, aliases).groupBy("session_key").agg(F.expr("count(1) AS child_count"))
 
 
+def _only_around(sessions: DataFrame, aliases: DataFrame, keys: DataFrame) -> DataFrame:
+    """Sessions whose parent key leads to one of a few sessions, directly or as a mirror key."""
+    mirrors = aliases.join(
+        F.broadcast(keys.select(F.col("session_key").alias("canonical_session_key"))), "canonical_session_key", "left_semi"
+    )
+    wanted = keys.select(F.col("session_key").alias("parent_key")).unionByName(
+        mirrors.select(F.col("alias_session_key").alias("parent_key"))
+    )
+    return sessions.join(wanted, "parent_key", "left_semi")
+
+
 def session_totals(facts: DataFrame) -> DataFrame:
     """Totals per session with its newest event time."""
     keys = ["session_key"]
@@ -90,7 +102,8 @@ def describe_sessions(rows: DataFrame, facts: DataFrame, sessions: DataFrame, al
     """
     keys = F.broadcast(rows.select("session_key"))  # a page: at most 201 rows
     latest = latest_activity(facts.join(keys, "session_key", "left_semi"))
-    named = sessions.select(
+    mine = sessions.join(keys, "session_key", "left_semi")
+    named = mine.select(
         "session_key", F.coalesce("provider_session_id", "session_key").alias("display_name"), "parent_provider_id"
     )
     names = projects.select(
@@ -101,8 +114,8 @@ def describe_sessions(rows: DataFrame, facts: DataFrame, sessions: DataFrame, al
         rows.join(named, "session_key")
         .join(latest, "session_key")
         .join(names, "latest_project_id", "left")
-        .join(parents(sessions, aliases), "session_key", "left")
-        .join(child_counts(sessions, aliases), "session_key", "left")
+        .join(parents(sessions, aliases, mine), "session_key", "left")
+        .join(child_counts(_only_around(sessions, aliases, keys), aliases), "session_key", "left")
         .withColumn("child_count", F.coalesce("child_count", F.lit(0)).cast("long"))
     )
 
