@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyline.model import HOUR_MS
 from tallyline.operators import filters as fl
 from tallyline.operators.calendar import Bucket
-from tallyline.operators.measures import DEC, KNOWN_TURN, measure_sums, merge_partials, partials_by, present_totals
+from tallyline.operators.measures import DEC, KNOWN_TURN, measure_sums, merge_partials, present_totals
 from tallyline.operators.series import with_bucket
 
 CACHE_VERSION = 1
@@ -129,17 +129,20 @@ def _cached_ids(rows: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame
 
 
 def hybrid_partials(
-    facts: DataFrame, rollup: DataFrame, turns: DataFrame, ready: DataFrame, spec: fl.UsageFilter, keys: list[str],
-    aliases: DataFrame | None = None, bins: list[Bucket] | None = None,
+    facts: DataFrame, rollup: DataFrame, turns: DataFrame, ledgers: DataFrame, ready: DataFrame, spec: fl.UsageFilter,
+    keys: list[str], aliases: DataFrame | None = None, bins: list[Bucket] | None = None,
 ) -> DataFrame:
     """Partial sums per group from rollup hours and remaining facts.
 
-    ``ready`` holds the ledger_id of every ledger whose rollup is current. With ``bins``, a
-    rollup hour is used only if it lies inside one bucket.
+    ``ready`` holds the ledger_id of every one of ``ledgers`` whose rollup is current. With
+    ``bins``, a rollup hour is used only if it lies inside one bucket. Facts are read in three
+    disjoint parts, so that what the rollup covers is not scanned: the hours a range boundary
+    cuts, full hours of ledgers without a current rollup, and hours a bucket boundary cuts.
     """
     spec.validate()
     start, end = full_hours(spec.start_ms, spec.end_ms)
     ready = ready.select("ledger_id").distinct()
+    stale = ledgers.select("ledger_id").distinct().join(ready, "ledger_id", "left_anti")
     inside = f"occurred_at_ms >= {start} AND occurred_at_ms < {end}"
 
     def usable(rows: DataFrame) -> DataFrame:
@@ -148,16 +151,15 @@ def hybrid_partials(
         return _whole_hours(rows, bins) if bins else rows
 
     cached, cached_turns = usable(rollup), usable(turns)
-    edge = fl.apply_filter(facts, spec, aliases).withColumn("provider", F.expr("CASE WHEN model IS NOT NULL THEN provider END"))
+    kept = fl.apply_filter(facts, spec, aliases).withColumn("provider", F.expr("CASE WHEN model IS NOT NULL THEN provider END"))
+    raw = kept.where(f"NOT ({inside})").unionByName(kept.where(inside).join(stale, "ledger_id", "left_semi").select(*kept.columns))
+    cut = _cut_hours(bins) if bins else []
+    if cut:
+        hours = kept.where(inside).withColumn("hour_start_ms", F.expr(f"occurred_at_ms - pmod(occurred_at_ms, {HOUR_MS}L)"))
+        split = hours.join(F.broadcast(_hour_table(facts, cut)), "hour_start_ms", "left_semi").join(stale, "ledger_id", "left_anti")
+        raw = raw.unionByName(split.select(*kept.columns))
     if bins:
-        hours = edge.withColumn("hour_start_ms", F.expr(f"occurred_at_ms - pmod(occurred_at_ms, {HOUR_MS}L)"))
-        split = _hour_fits(bins)
-        whole = with_bucket(hours, bins).join(F.broadcast(split), "hour_start_ms", "left")
-        edge = whole.withColumn("covered", F.expr(f"({inside}) AND hour_fits IS NULL")).drop("hour_fits")
-    else:
-        edge = edge.withColumn("covered", F.expr(inside))
-    marked = edge.join(ready.withColumn("is_ready", F.lit(True)), "ledger_id", "left")
-    raw = marked.where("NOT (covered AND coalesce(is_ready, false))").drop("covered", "is_ready")
+        raw = with_bucket(raw, bins)
 
     # Sums add up; distinct ids of both sides are merged before they are counted.
     from_cache = cached.select(*keys, *[c for c in cached.columns if c not in {*COHORT, *keys}])
@@ -169,29 +171,32 @@ def hybrid_partials(
     return sums.unionByName(counts, allowMissingColumns=True)
 
 
-def _hour_fits(bins: list[Bucket]) -> DataFrame:
+def _cut_hours(bins: list[Bucket]) -> list[int]:
     """UTC hours that a bucket boundary cuts (at most two per bucket)."""
-    from pyspark.sql import SparkSession
-
     edges = {b for x in bins for b in (x.start_ms, x.end_ms) if b % HOUR_MS}
-    rows = [(e // HOUR_MS * HOUR_MS, True) for e in sorted(edges)]
-    return SparkSession.active().createDataFrame(sorted(set(rows)), "hour_start_ms long, hour_fits boolean")
+    return sorted({e // HOUR_MS * HOUR_MS for e in edges})
+
+
+def _hour_table(like: DataFrame, hours: list[int]) -> DataFrame:
+    return like.sparkSession.createDataFrame([(h,) for h in hours], "hour_start_ms long")
 
 
 def _whole_hours(rows: DataFrame, bins: list[Bucket]) -> DataFrame:
-    cut = F.broadcast(_hour_fits(bins))
-    return with_bucket(rows.join(cut, "hour_start_ms", "left_anti"), bins, "hour_start_ms")
+    cut = _cut_hours(bins)
+    if cut:
+        rows = rows.join(F.broadcast(_hour_table(rows, cut)), "hour_start_ms", "left_anti")
+    return with_bucket(rows, bins, "hour_start_ms")
 
 
-def hybrid_totals(facts, rollup, turns, ready, spec, keys=[], aliases=None) -> DataFrame:
+def hybrid_totals(facts, rollup, turns, ledgers, ready, spec, keys=[], aliases=None) -> DataFrame:
     """Totals per group, equal to the totals of the facts alone."""
-    partials = hybrid_partials(facts, rollup, turns, ready, spec, keys, aliases)
+    partials = hybrid_partials(facts, rollup, turns, ledgers, ready, spec, keys, aliases)
     return present_totals(merge_partials(partials, keys), keys)
 
 
-def hybrid_series(facts, rollup, turns, ready, spec, bins, aliases=None) -> DataFrame:
+def hybrid_series(facts, rollup, turns, ledgers, ready, spec, bins, aliases=None) -> DataFrame:
     from tallyline.operators.series import zero_fill
 
     keys = ["bucket_index"]
-    partials = hybrid_partials(facts, rollup, turns, ready, spec, keys, aliases, bins)
+    partials = hybrid_partials(facts, rollup, turns, ledgers, ready, spec, keys, aliases, bins)
     return zero_fill(present_totals(merge_partials(partials, keys), keys), bins)

@@ -27,7 +27,7 @@ def _stored(spark, directory):
 @register("hybrid_totals", with_tables(f"SELECT {totals_columns()} FROM facts WHERE {IN_SPAN}", "facts"))
 def hybrid_totals(spark, directory):
     tables, hours, turns, ready = _stored(spark, directory)
-    return rollup.hybrid_totals(tables.usage(START, END), hours, turns, ready, SPAN)
+    return rollup.hybrid_totals(tables.usage(START, END), hours, turns, tables.ledgers, ready, SPAN)
 
 
 @register(
@@ -40,7 +40,7 @@ def hybrid_totals(spark, directory):
 def hybrid_totals_filtered(spark, directory):
     tables, hours, turns, ready = _stored(spark, directory)
     spec = UsageFilter(START, END, sources=Selection.of("src1"), projects=Selection.of("p2", include_unknown=True))
-    return rollup.hybrid_totals(tables.usage(START, END), hours, turns, ready, spec)
+    return rollup.hybrid_totals(tables.usage(START, END), hours, turns, tables.ledgers, ready, spec)
 
 
 @register(
@@ -53,14 +53,14 @@ def hybrid_totals_filtered(spark, directory):
 )
 def hybrid_groups(spark, directory):
     tables, hours, turns, ready = _stored(spark, directory)
-    return rollup.hybrid_totals(tables.usage(START, END), hours, turns, ready, SPAN, ["provider", "model"])
+    return rollup.hybrid_totals(tables.usage(START, END), hours, turns, tables.ledgers, ready, SPAN, ["provider", "model"])
 
 
 @register("hybrid_series", _series_sql(20_700_000, 86_400_000, START, END, "%Y-%m-%d"))
 def hybrid_series(spark, directory):
     tables, hours, turns, ready = _stored(spark, directory)
     bins = calendar.buckets(START, END, "Asia/Kathmandu", "day")
-    return rollup.hybrid_series(tables.usage(START, END), hours, turns, ready, SPAN, bins)
+    return rollup.hybrid_series(tables.usage(START, END), hours, turns, tables.ledgers, ready, SPAN, bins)
 
 
 @register(
