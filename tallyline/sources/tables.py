@@ -16,11 +16,11 @@ from tallyline.model import ACCOUNTING_V2, DAY_MS, HOUR_MS
 PARSER = "rollout-v1"
 
 
-def epoch_ms(ts: Column) -> Column:
+def epoch_ms(ts: str) -> str:
     """Milliseconds of a zoneless UTC timestamp, cut (not rounded), whatever the session zone."""
-    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    seconds = (F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
-    return days * DAY_MS + F.hour(ts) * F.lit(HOUR_MS) + F.minute(ts) * F.lit(60_000) + seconds
+    days = f"CAST(datediff(CAST({ts} AS DATE), DATE'1970-01-01') AS BIGINT)"
+    seconds = f"CAST(extract(SECOND FROM {ts}) * 1000 AS BIGINT)"
+    return f"{days} * {DAY_MS}L + hour({ts}) * {HOUR_MS}L + minute({ts}) * 60000L + {seconds}"
 
 
 def zoneless(ms: int) -> Column:
@@ -50,44 +50,38 @@ class UsageTables:
 
     def usage(self, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
         """Confirmed usage events, one per stored event."""
-        k, tokens = F.col("k"), F.col("total_tokens")
-        event, user = F.col("event_number"), F.col("user_id")
-        base = self.events_between(start_ms, end_ms).select(
-            F.col("event_id").alias("event_number"),
-            F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"),
-            epoch_ms(F.col("ts")).alias("occurred_at_ms"),
+        base = self.events_between(start_ms, end_ms).selectExpr(
+            "event_id AS event_number",
+            "lpad(CAST(event_id AS STRING), 12, '0') AS event_id",
+            f"{epoch_ms('ts')} AS occurred_at_ms",
             "user_id",
             "event_type",
-            F.get_json_object("props", "$.k").cast("int").alias("k"),
-            F.round(F.col("value") * 100).cast("long").alias("total_tokens"),
+            "CAST(get_json_object(props, '$.k') AS INT) AS k",
+            "CAST(round(value * 100) AS BIGINT) AS total_tokens",
         )
-        known = k % 10 != 0
-        output = F.when(known, F.expr("total_tokens div 4"))
-        whole = F.when(known, tokens - F.expr("total_tokens div 4"))
-        return (
-            base.withColumns({"output_total": output, "input_total": whole})
-            .withColumns(
-                {
-                    "ledger_id": F.concat(F.lit("l"), user),
-                    "session_key": F.concat(F.lit("s"), user),
-                    "model": F.when(F.col("event_type") != "error", F.col("event_type")),
-                    "provider": F.when(user % 3 == 0, "alpha").when(user % 3 == 1, "beta"),
-                    "project_id": F.when(k % 7 != 0, F.concat(F.lit("p"), k % 7)),
-                    "turn_id": F.when(k % 11 != 0, F.concat(F.lit("t"), F.expr("event_number div 5"))),
-                    "source_ids": F.when(k % 4 == 0, F.array(F.lit("src0"), F.lit("src1"))).otherwise(
-                        F.array(F.lit("src0"))
-                    ),
-                    "cached_input": F.when(k % 10 > 1, F.expr("input_total div 2")),
-                    "cache_write_input": F.when(k % 5 != 0, F.expr("input_total div 8")),
-                    "reasoning_output": F.when(k % 4 != 0, F.expr("output_total div 3")),
-                    "reported_total": tokens,
-                    "calculation_method": F.lit("last_with_baseline"),
-                    "accounting_version": F.lit(ACCOUNTING_V2),
-                    "parser_version": F.lit(PARSER),
-                }
-            )
-            .withColumn("model_key", X.model_key(F.col("provider"), F.col("model")))
+        split = base.selectExpr(
+            "*",
+            "CASE WHEN k % 10 <> 0 THEN total_tokens div 4 END AS output_total",
+            "CASE WHEN k % 10 <> 0 THEN total_tokens - total_tokens div 4 END AS input_total",
+        )
+        named = split.selectExpr(
+            "*",
+            "concat('l', user_id) AS ledger_id",
+            "concat('s', user_id) AS session_key",
+            "CASE WHEN event_type <> 'error' THEN event_type END AS model",
+            "CASE user_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' END AS provider",
+            "CASE WHEN k % 7 <> 0 THEN concat('p', k % 7) END AS project_id",
+            "CASE WHEN k % 11 <> 0 THEN concat('t', event_number div 5) END AS turn_id",
+            "CASE WHEN k % 4 = 0 THEN array('src0', 'src1') ELSE array('src0') END AS source_ids",
+            "CASE WHEN k % 10 > 1 THEN input_total div 2 END AS cached_input",
+            "CASE WHEN k % 5 <> 0 THEN input_total div 8 END AS cache_write_input",
+            "CASE WHEN k % 4 <> 0 THEN output_total div 3 END AS reasoning_output",
+            "total_tokens AS reported_total",
+            "'last_with_baseline' AS calculation_method",
+            f"'{ACCOUNTING_V2}' AS accounting_version",
+            f"'{PARSER}' AS parser_version",
         )
+        return named.withColumn("model_key", X.model_key(F.col("provider"), F.col("model")))
 
     @cached_property
     def facts(self) -> DataFrame:
