@@ -37,7 +37,10 @@ named_struct('slot', 3, 'line', CASE
 
 
 def log_lines(spark, directory) -> DataFrame:
-    facts = UsageTables(spark, directory).facts
+    # Building the lines is the costly part of this input, so it is spread by event, not by file.
+    facts = UsageTables(spark, directory).facts.select(
+        "event_number", "user_id", "k", "event_type", "total_tokens", "occurred_at_ms"
+    ).repartition("event_number")
     firsts = facts.groupBy("user_id").agg(F.expr("min(event_number) AS first_number"))
     texts = (
         facts.join(firsts, "user_id")
