@@ -88,7 +88,7 @@ cte("carried", "kept_lines")(
     ),
 )
 def log_observations(spark, directory):
-    rows = normalize.normalize(cut_lineage(log_lines(spark, directory)))
+    rows = normalize.normalize(log_lines(spark, directory))
     return rows.selectExpr(
         "file_generation_id", "byte_offset", "kind", "reason", "model", "turn_id",
         "CASE WHEN kind = 'usage' THEN event_time_ms END AS event_time_ms", "last.input_total AS input_total",
@@ -101,7 +101,7 @@ def log_observations(spark, directory):
     "SELECT DISTINCT 'project-'||sha256('/home/w'||(user_id%7)) AS project_id, 'w'||(user_id%7) AS display_name FROM events",
 )
 def log_projects(spark, directory):
-    rows = normalize.normalize(cut_lineage(log_lines(spark, directory)))
+    rows = normalize.normalize(log_lines(spark, directory))
     return normalize.projects_of(rows.where("kind = 'session_metadata'"))
 
 
@@ -113,7 +113,7 @@ def log_projects(spark, directory):
     ),
 )
 def log_file_sessions(spark, directory):
-    return normalize.file_sessions(normalize.normalize(cut_lineage(log_lines(spark, directory))))
+    return normalize.file_sessions(normalize.normalize(log_lines(spark, directory)))
 
 
 @register(
@@ -125,7 +125,7 @@ def log_file_sessions(spark, directory):
     ),
 )
 def log_diagnostics(spark, directory):
-    found = normalize.diagnostics_of(normalize.normalize(cut_lineage(log_lines(spark, directory))), "rollout-v1")
+    found = normalize.diagnostics_of(normalize.normalize(log_lines(spark, directory)), "rollout-v1")
     return found.groupBy("reason").agg(F.expr("count(1) AS occurrences"), F.expr("count(DISTINCT file_generation_id) AS files"))
 
 

@@ -134,3 +134,20 @@ def test_request_input_needs_full_agreement(spark):
     text = catalog.request_input("e", "turn", "gen", "15L", "l", "c", "v")
     got = [None if r.q is None else (r.q.input_tokens, r.q.binding) for r in shaped.select(F.expr(text).alias("q")).collect()]
     assert got == [(10, "full_request"), None, None, None, (10, "different_consumption")]
+
+
+def test_catalog_documents_load(spark, tmp_path):
+    import json
+
+    from tallyline.sources.rate_files import read_catalogs
+
+    entry = {"model_exact": "m-1", "tier": "standard", "context": "all", "input_per_million": "1.5", "output_per_million": "6", "reference": "list"}
+    document = {
+        "format_version": 1, "catalog_id": "c-1", "verified_at_ms": 5, "provider": "p", "currency": "USD", "short_context_max_input": 272000,
+        "reference_basis": "global", "entries": [entry, {**entry, "tier": "flex", "input_per_million": "0.0000000001"}],
+    }
+    (tmp_path / "c.json").write_text(json.dumps(document, indent=1))
+    loaded = read_catalogs(spark, str(tmp_path / "c.json"))
+    assert {(r.model_exact, r.problem) for r in catalog.catalog_problems(loaded).collect()} == {("m-1", "bad_rate")}
+    flat = catalog.flat_standard_rules(loaded.withColumn("introduced_revision", F.lit(1))).collect()
+    assert [(r.rule_id, int(r.input_rate_atoms), r.cached_rate_atoms) for r in flat] == [("offline/c-1/m-1", 1_500_000_000, None)]
