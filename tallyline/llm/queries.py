@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyline.llm import decontaminate, secrets, sharding, simhash, token_counts, toxicity
+from tallyline.llm import decontaminate, quality, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
 from tallyline.llm.common import read
 
 TOKEN_LIMIT = 1024
@@ -47,10 +47,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Hosts are sources; the sections of a source are its languages.
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), SHARDS)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -63,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_secret_scans,
         op4_toxicity,
         op5_decontamination,
+        op7_sentence_pieces,
         op8_simhash,
+        op9_quality,
         op10_sharding,
     )
 }
