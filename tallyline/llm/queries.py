@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyline.llm import decontaminate, quality, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
+from tallyline.llm import decontaminate, embeddings, quality, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
 from tallyline.llm.common import read
 
 TOKEN_LIMIT = 1024
@@ -38,6 +38,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts,
         op2_secret_scans,
+        op3_embedding_duplicates,
         op4_toxicity,
         op5_decontamination,
         op7_sentence_pieces,
