@@ -36,6 +36,16 @@ def stored(df: DataFrame, what: str, partition_by: Sequence[str] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote and nothing will read again."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        while not path.getParent().getName() == "tallyline":
+            path = path.getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of plans that are no longer referenced."""
     gc.collect()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyline.llm import decontaminate, embeddings, quality, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
+from tallyline.llm import decontaminate, embeddings, quality, repeats, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
 from tallyline.llm.common import read
 
 TOKEN_LIMIT = 1024
@@ -51,6 +51,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_embedding_duplicates,
         op4_toxicity,
         op5_decontamination,
+        op6_repeats,
         op7_sentence_pieces,
         op8_simhash,
         op9_quality,
