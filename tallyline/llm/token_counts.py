@@ -38,7 +38,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 # A space between two characters that are not white space: no word goes across its left side.
 BETWEEN = re.compile(r" (?=\S)(?<=\S )")
-CACHED_CHUNKS = 100_000
+CACHED_CHUNKS = 250_000
 LONGEST_CACHED = 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, fit_bytes long, prefix_deltas binary"
 
