@@ -56,12 +56,6 @@ def _located(text: Column, pattern: str, kind: int, value_group: int | None) ->
     return F.when(text.rlike(pattern), walk).otherwise(nothing)
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", text.alias("text"))
-    return found.select("doc_id", "text", _located(F.col("text"), ASSIGN, 0, 1).alias("assign"), _located(F.col("text"), ACCESS, 1, None).alias("access"), _located(F.col("text"), HEX, 2, None).alias("hex"))
-
-
 def _pairs(strings: Column) -> Column:
     inside = F.transform(strings, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2))))
     return F.explode(F.flatten(inside)).alias("pair")
@@ -94,21 +88,27 @@ def train(docs: DataFrame) -> list[int]:
 
 def _ratio(string: Column, model: list[int]) -> Column:
     table = F.expr("array(" + ",".join(map(str, model)) + ")")
-    letter = lambda i: F.expr(f"instr('{ALPHABET}', '')") if i is None else F.instr(F.lit(ALPHABET), F.substring(string, i, F.lit(1)))
+    letter = lambda i: F.instr(F.lit(ALPHABET), F.substring(string, i, F.lit(1)))
     return F.aggregate(F.sequence(F.lit(1), F.length(string) - 1), F.lit(0), lambda a, i: a + F.element_at(table, (letter(i) - 1) * len(ALPHABET) + letter(i + 1)))
 
 
 def scan(docs: DataFrame, model: list[int]) -> DataFrame:
     """One row per row of ``docs``: doc_id, text (NULL as empty), base and spans, both arrays of
     struct(start, kind, end) by start, then kind: 0 assign, 1 access, 2 hex, 3 markov."""
-    found = _base(id_text(docs)).withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    return _with_spans(id_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model)
+
+
+def _with_spans(rows: DataFrame, model: list[int]) -> DataFrame:
+    text = F.col("text")
+    parts = [_located(text, ASSIGN, 0, 1), _located(text, ACCESS, 1, None), _located(text, HEX, 2, None)]
+    found = rows.withColumn("base", F.array_sort(F.concat(*parts)))
     if not model:
         return found.withColumn("spans", F.col("base"))
-    text = F.col("text")
     runs = _located(text, CANDIDATE, 3, None)
     meets = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     random = lambda s: _ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), model) > int(LEAST_RATIO * SCALE)
-    return found.withColumn("markov", F.filter(runs, lambda s: ~meets(s) & random(s))).withColumn("spans", F.when(F.size("markov") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "markov"))))
+    found = found.withColumn("markov", F.filter(runs, lambda s: ~meets(s) & random(s)))
+    return found.withColumn("spans", F.when(F.size("markov") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "markov"))))
 
 
 def written(spans: Column) -> Column:
@@ -117,6 +117,14 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def redact(docs: DataFrame, model: list[int], text_col: str = "text", mask: str = "[secret]") -> DataFrame:
+    """``docs`` with every secret in the text replaced; NULL texts stay NULL. All columns stay."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _with_spans(rows.withColumn("text", F.coalesce("text", F.lit(""))), model)
+    clean = F.when(F.col(f"__row.{text_col}").isNotNull(), redacted(F.col("text"), F.col("spans"), mask))
+    return found.select(*[clean.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns])
+
+
 def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     """The text with each span, or run of overlapping spans, replaced by the mask."""
     walk = F.aggregate(

@@ -25,12 +25,11 @@ toxic from the labels.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -85,14 +84,13 @@ def evidence(text: str | None, toxic: str, ordinary: str) -> tuple[float, float,
     return min(first, 12.0) * 1.0, min(second, 12.0) * 1.0, float(np.log1p(sum(x >= EVIDENCE for x in found))), float(np.log1p(len(windows)))
 
 
-def features(docs: DataFrame, toxic: str, ordinary: str) -> DataFrame:
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [evidence(t.as_py(), toxic, ordinary) for t in batch.column(1)]
-            columns = list(zip(*rows)) if rows else [[]] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", *FEATURES])
+def features(text: Column, toxic: str, ordinary: str) -> Column:
+    """FEATURES of a text column, as a struct."""
 
-    return docs.mapInArrow(each, "doc_id long, " + ", ".join(f"{n} double" for n in FEATURES))
+    def each(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([evidence(t, toxic, ordinary) for t in texts], columns=FEATURES, dtype=float)
+
+    return F.pandas_udf(each, ", ".join(f"{n} double" for n in FEATURES))(text)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -123,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     own, base = " ".join(toxic_words), " ".join(common)
     filler = (base * (1 + len(own.encode()) // max(1, len(base.encode())))).encode()[: len(own.encode())].decode(errors="ignore") if base else " " * len(own)
     toxic, ordinary = f" {own} {base} ", f" {filler} {base} "
-    rows = features(sample.select("doc_id", "text"), toxic, ordinary).join(F.broadcast(picked), "doc_id").orderBy("doc_id", *FEATURES).collect()
+    rows = sample.select("doc_id", "toxic", features(F.col("text"), toxic, ordinary).alias("f")).select("doc_id", "toxic", "f.*").orderBy("doc_id", *FEATURES).collect()
     x = np.array([[1.0, *(r[n] for n in FEATURES)] for r in rows])
     y = np.array([r.toxic for r in rows], float)
     weight = np.where(y == 1, totals[1] / counts[1], totals[0] / counts[0])
@@ -145,15 +143,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b.tolist()
 
 
+def score_of(text: Column, model: Model) -> Column:
+    """The score of a text column, 0 to 1."""
+    if not model.weights:
+        return F.lit(float(model.share))
+    found = features(text, model.toxic, model.ordinary)
+    line = F.lit(model.weights[0])
+    for name, w in zip(FEATURES, model.weights[1:]):
+        line = line + found[name] * w
+    return 1 / (1 + F.exp(-line))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 if >= 0.5)."""
-    docs = id_text(docs)
-    if model.weights:
-        scored = features(docs, model.toxic, model.ordinary)
-        line = F.lit(model.weights[0])
-        for name, w in zip(FEATURES, model.weights[1:]):
-            line = line + F.col(name) * w
-        value = 1 / (1 + F.exp(-line))
-    else:
-        scored, value = docs, F.lit(float(model.share))
-    return scored.select("doc_id", (crc_remainder(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) == 0).alias("held_out"), value.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    held_out = crc_remainder(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) == 0
+    scored = id_text(docs).select("doc_id", held_out.alias("held_out"), score_of(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
