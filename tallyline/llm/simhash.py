@@ -5,9 +5,9 @@ Manhattan distance of two embeddings never exceeds the Hamming distance of the f
 it is a lower bound to search by. The embedding is kept packed, each count in unary, so that
 Manhattan distance is one XOR and one bit count.
 
-Grid range join: the 32 coordinates are cut into 7 runs. Two vectors within distance 4 differ in
-at most 4 runs, so they agree in at least 3: they share a cell of one of the 35 grids that keep
-3 runs each. Pairs that meet in a cell are checked by the lower bound, then exactly.
+Grid range join: the 32 coordinates are cut into 8 runs. Two vectors within distance 4 differ in
+at most 4 runs, so they agree in at least 4: they share a cell of one of the 70 grids that keep
+4 runs each. Pairs that meet in a cell are checked by the lower bound, then exactly.
 
 Only connectivity is asked for, so not all pairs of a cell are made. First every fingerprint of a
 cell is compared with the least and the greatest of the cell (two joins with per-cell minima, in
@@ -39,9 +39,9 @@ from tallyline.llm.components import connected_components
 
 DISTANCE = 4
 LOW_BITS = 0x5555555555555555
-# Two-bit segments per run; 3 of the 7 runs stay equal when at most 4 differ.
-RUNS = (5, 4, 5, 4, 5, 4, 5)
-KEPT_RUNS = 3
+# Two-bit segments per run; 4 of the 8 runs stay equal when at most 4 differ.
+RUNS = (4,) * 8
+KEPT_RUNS = 4
 
 
 def _signed(x: int) -> int:
@@ -96,34 +96,40 @@ def grids() -> list[int]:
 
 
 def _near(a: str, b: str) -> Column:
-    bound = F.bit_count(F.col(f"{a}.v").bitwiseXOR(F.col(f"{b}.v"))) <= DISTANCE
-    return bound & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= DISTANCE)
+    x, y = F.col(a), F.col(b)
+    bound = F.bit_count(embedding(x).bitwiseXOR(embedding(y))) <= DISTANCE
+    return bound & (F.bit_count(x.bitwiseXOR(y)) <= DISTANCE)
+
+
+def _cells(points: DataFrame) -> DataFrame:
+    """A row for each point and grid, with the cell as one hashed key."""
+    keys = F.array(*[F.xxhash64(F.lit(n), F.col("v").bitwiseAND(F.lit(m))) for n, m in enumerate(grids())])
+    return points.withColumn("v", embedding(F.col("fp"))).select(*points.columns, F.explode(keys).alias("cell"))
 
 
 def link_components(points: DataFrame) -> DataFrame:
-    """``points`` (id, fp), fp distinct -> (id, component): the least id reachable by links of
+    """``points`` (id, fp), both distinct -> (id, component): the least id reachable by links of
     at most 4 differing bits."""
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("grid"), F.col("v").bitwiseAND(F.lit(m)).alias("cell")) for n, m in enumerate(grids())])).alias("c")
-    dealt = stored(points.withColumn("v", embedding(F.col("fp"))).select("id", "fp", "v", cells).select("id", "fp", "v", "c.grid", "c.cell"), "simhash-cells")
-    me = F.struct("fp", "id", "v")
-    heads = dealt.groupBy("grid", "cell").agg(F.min(me).alias("lo"), F.max(me).alias("hi"), F.count("*").alias("n")).where("n > 1")
-    heads = heads.select("grid", "cell", F.explode(F.array("lo", "hi")).alias("h")).select("grid", "cell", "h.*")
-    links = dealt.alias("a").join(heads.alias("b"), ["grid", "cell"]).where(_near("a", "b") & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    first = stored(connected_components(links), "simhash-first")
-
-    labelled = dealt.join(first.withColumnRenamed("vertex", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    dealt = _cells(points.select("fp"))
+    heads = dealt.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
+    heads = heads.select("cell", F.explode(F.array("lo", "hi")).alias("head"))
+    links = dealt.join(heads, "cell").where(_near("fp", "head") & (F.col("fp") != F.col("head"))).select("fp", "head").distinct()
+    links = links.join(points.select("fp", F.col("id").alias("a")), "fp").join(points.select(F.col("fp").alias("head"), F.col("id").alias("b")), "head")
+    first = stored(connected_components(links.select("a", "b")), "simhash-first")
+
+    labelled = points.join(first.withColumnRenamed("vertex", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     labelled = stored(labelled, "simhash-labelled")
-    sizes = labelled.groupBy("grid", "cell", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("grid", "cell").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    here = labelled.join(mixed.select("grid", "cell", "largest"), ["grid", "cell"])
-    others = here.where("component <> largest")
-    crossing = F.col("a.component") != F.col("b.component")
-    more = others.alias("a").join(here.alias("b"), (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & crossing & _near("a", "b"))
-    more = stored(more.select(F.col("a.component").alias("a"), F.col("b.component").alias("b")).distinct(), "simhash-links")
+    dealt = _cells(labelled)
+    mixed = dealt.groupBy("cell").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("cell")
+    here = stored(dealt.join(mixed, "cell"), "simhash-mixed")
+    sizes = here.groupBy("cell", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
+    others = here.join(largest, "cell").where("component <> largest").select("cell", F.col("fp").alias("other_fp"), F.col("component").alias("other"))
+    more = others.join(here, "cell").where((F.col("other") != F.col("component")) & _near("other_fp", "fp"))
     # Merge the components: their least members are vertices like others.
-    second = connected_components(more)
-    merged = first.join(second.withColumnRenamed("component", "upper"), F.col("component") == second["vertex"], "left").select(first["vertex"].alias("id"), F.coalesce("upper", "component").alias("component"))
-    alone = second.join(first, second["vertex"] == first["vertex"], "left_anti").select(F.col("vertex").alias("id"), "component")
+    second = stored(connected_components(more.select(F.col("other").alias("a"), F.col("component").alias("b")).distinct()), "simhash-second")
+    merged = first.join(second.select(F.col("vertex").alias("component"), F.col("component").alias("upper")), "component", "left").select(F.col("vertex").alias("id"), F.coalesce("upper", "component").alias("component"))
+    alone = second.join(first, "vertex", "left_anti").select(F.col("vertex").alias("id"), "component")
     found = stored(merged.union(alone), "simhash-components")
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
