@@ -33,7 +33,7 @@ def stored(df: DataFrame, what: str, partition_by: Sequence[str] = ()) -> DataFr
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     release_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(table: DataFrame) -> None:
