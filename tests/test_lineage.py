@@ -8,11 +8,18 @@ SEQ = (
     "sequence_key string, owner_session_key string, namespace string, provider_session_id string, created_at_ms long, "
     "parent_provider_id string, starts_at_head boolean, scanned boolean, previously_canonical boolean, has_trusted_history boolean"
 )
-V = {
-    "a": ((100, 60, None, 10, 2, 110), (100, 60, None, 10, 2, 110)),
-    "b": ((20, 10, None, 5, 1, 25), (120, 70, None, 15, 3, 135)),
-    "c": ((30, 10, None, 5, 1, 35), (130, 70, None, 15, 3, 145)),
-}
+
+
+# The letter before; the counters of a letter go on from it.
+BEFORE = {"q": "k", "z": "q", "w": "k", "u": "t", "v": "u", "x": "u", "y": "v", "n": "t", "b": "a", "c": "a"}
+
+
+def vectors_of(letter):
+    """A last and a cumulative vector; last differs for every letter."""
+    n = ord(letter)
+    last = (n, n % 7, None, n % 5, n % 3 if n % 5 > 2 else 0, n + n % 5)
+    before = vectors_of(BEFORE[letter])[1] if letter in BEFORE else (0, 0, None, 0, 0, 0)
+    return last, tuple(None if x is None else x + y for x, y in zip(last, before))
 
 
 def seq(key, owner, pid, created=1, parent=None, head=True, scanned=True, previous=False, trusted=False):
@@ -20,7 +27,7 @@ def seq(key, owner, pid, created=1, parent=None, head=True, scanned=True, previo
 
 
 def recs(key, letters):
-    return [(key, n, 5, *V[x], x) for n, x in enumerate(letters)]
+    return [(key, n, 5, *vectors_of(x), x) for n, x in enumerate(letters)]
 
 
 def frames(spark, sequences, records):
@@ -28,42 +35,59 @@ def frames(spark, sequences, records):
     return spark.createDataFrame(sequences, SEQ), r, L.proofs(r)
 
 
-def test_mirror_cases(spark):
-    cases = [
-        ("ab", "ab", {}, ("mirror", 2, 0)),
-        ("a", "ab", {}, ("mirror", 1, 1)),
-        ("a", "ab", {"scanned": False}, ("pending_incomplete", 1, 1)),
-        ("ab", "ac", {}, ("identity_conflict", 1, 1)),
-        ("a", "a", {"created": None}, ("pending_insufficient", 1, 0)),
-        ("ab", "ab", {"created": None}, ("mirror", 2, 0)),
-        ("ab", "ab", {"head": False}, ("pending_incomplete", 2, 0)),
-    ]
-    sequences, records, pairs = [], [], []
-    for n, (ref, incoming, extra, _) in enumerate(cases):
-        created = extra.get("created", 1)
-        sequences += [seq(f"r{n}", "s", f"id{n}", created, head=extra.get("head", True), scanned=extra.get("scanned", True)), seq(f"i{n}", "s", f"id{n}", created)]
-        records += recs(f"r{n}", ref) + recs(f"i{n}", incoming)
-        pairs.append((f"r{n}", f"i{n}"))
+def common(a, b):
+    return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_mirrors_of_every_overlap(spark):
+    """All short pairs of sequences: what is equal at the front is a mirror, a fork is a conflict."""
+    words = ["k", "kq", "kqz", "kw", "q"]
+    sequences, records, pairs, want = [], [], [], {}
+    for a, ref in enumerate(words):
+        for b, incoming in enumerate(words):
+            left, right = f"r{a}{b}", f"i{a}{b}"
+            sequences += [seq(left, "s", f"id{a}{b}"), seq(right, "s", f"id{a}{b}")]
+            records += recs(left, ref) + recs(right, incoming)
+            pairs.append((left, right))
+            same = common(ref, incoming)
+            if 0 < same < min(len(ref), len(incoming)):
+                want[right] = ("identity_conflict", same, len(incoming) - same)
+            elif same == len(incoming) or same == len(ref):
+                want[right] = ("mirror", same, len(incoming) - same)
     s, r, p = frames(spark, sequences, records)
-    got = {x.sequence_key: x for x in L.align_mirrors(spark.createDataFrame(pairs, "reference_key string, sequence_key string"), s, r, p).collect()}
-    assert [(got[f"i{n}"].decision, got[f"i{n}"].prefix, got[f"i{n}"].continuation) for n in range(len(cases))] == [c[3] for c in cases]
+    got = {x.sequence_key: (x.decision, x.prefix, x.continuation) for x in L.align_mirrors(spark.createDataFrame(pairs, "reference_key string, sequence_key string"), s, r, p).collect()}
+    assert {k: got[k] for k in want} == want
 
 
-def test_lineage_cases(spark):
-    sequences = [
-        seq("p0", "p0", "P0"), seq("c0", "c0", "C0", parent="P0"),
-        seq("p1", "p1", "P1"), seq("c1", "c1", "C1", parent="P1"),
-        seq("c2", "c2", "C2", parent="P2"),
-        seq("p3a", "p3", "P3"), seq("p3b", "p3", "P3"), seq("c3", "c3", "C3", parent="P3"),
-        seq("p4", "p4", "P4"), seq("c4", "c4", "C4", parent="P4"),
-        seq("c5", "c5", "C5", parent="C5"),
-    ]
-    letters = dict(p0="ab", c0="ac", p1="ab", c1="ab", c2="ac", p3a="a", p3b="a", c3="ac", p4="ab", c4="c", c5="a")
+def test_mirrors_need_a_head_a_scan_and_evidence(spark):
+    sequences, records, pairs = [], [], []
+    for name, more in (("headless", {"head": False}), ("unread", {"scanned": False})):
+        sequences += [seq(f"{name}-r", "s", name, **more), seq(f"{name}-i", "s", name)]
+        records += recs(f"{name}-r", "kq") + recs(f"{name}-i", "kqz")
+        pairs.append((f"{name}-r", f"{name}-i"))
+    sequences += [seq("short-r", "s", "short", None), seq("short-i", "s", "short", None)]
+    records += recs("short-r", "m") + recs("short-i", "m")
+    pairs.append(("short-r", "short-i"))
+    s, r, p = frames(spark, sequences, records)
+    got = {x.sequence_key: x.decision for x in L.align_mirrors(spark.createDataFrame(pairs, "reference_key string, sequence_key string"), s, r, p).collect()}
+    assert got == {"headless-i": "pending_incomplete", "unread-i": "pending_incomplete", "short-i": "pending_insufficient"}
+
+
+def test_children_inherit_what_they_share_with_their_parent(spark):
+    sequences, letters = [], {}
+    for n, (parent, child) in enumerate([("tuv", "tux"), ("tuv", "tuv"), ("tuvy", "tn")]):
+        sequences += [seq(f"mother{n}", f"mother{n}", f"M{n}"), seq(f"child{n}", f"child{n}", f"D{n}", parent=f"M{n}")]
+        letters |= {f"mother{n}": parent, f"child{n}": child}
+    sequences += [seq("orphan", "orphan", "O", parent="nobody"), seq("ouroboros", "ouroboros", "U", parent="U")]
+    sequences += [seq("left", "m", "TWO"), seq("right", "m", "TWO"), seq("torn", "torn", "T", parent="TWO")]
+    sequences += [seq("stranger", "stranger", "S"), seq("unlike", "unlike", "N", parent="S")]
+    letters |= {"orphan": "tu", "ouroboros": "t", "left": "t", "right": "t", "torn": "tu", "stranger": "tu", "unlike": "w"}
     s, r, p = frames(spark, sequences, [x for k, v in letters.items() for x in recs(k, v)])
     got = {x.sequence_key: (x.decision, x.prefix, x.continuation) for x in L.align_lineage(s, r, p).collect()}
-    assert got["c0"] == ("inherited", 1, 1) and got["c1"] == ("inherited", 2, 0)
-    assert got["c2"][0] == "pending_incomplete" and got["c3"][0] == "pending_multiple"
-    assert got["c4"][0] == "pending_insufficient" and got["c5"][0] == "identity_conflict"
+    assert [got[f"child{n}"] for n in range(3)] == [("inherited", 2, 1), ("inherited", 3, 0), ("inherited", 1, 1)]
+    assert {k: got[k][0] for k in ("orphan", "torn", "unlike", "ouroboros")} == {
+        "orphan": "pending_incomplete", "torn": "pending_multiple", "unlike": "pending_insufficient", "ouroboros": "identity_conflict",
+    }
 
 
 def test_canonical_plan(spark):
