@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Limits, versions and names that results depend on.
-MAX_STREAMS = 128
 MAX_BUCKETS = 2000
 MAX_PRICE_RULES = 4096
 MAX_ALIASES = 4096

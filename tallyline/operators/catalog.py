@@ -305,10 +305,10 @@ def request_input(evidence: str, turn_id: str, generation: str, offset: str,
         f" AND {e}.usage.output_total IS NOT NULL AND {e}.usage.input_total IS NOT NULL"
     )
     response, thread = V.validated_total(f"{e}.usage"), V.validated_total(f"{e}.thread_usage")
-    # The parts a response may not exceed its thread in; cache writes are not compared.
+    # The parts a response may not exceed its thread in.
     exceeds = " OR ".join(
         f"coalesce({e}.usage.{n} > {e}.thread_usage.{n}, false)"
-        for n in ("input_total", "cached_input", "output_total", "reasoning_output")
+        for n in ("input_total", "cached_input", "cache_write_input", "output_total", "reasoning_output")
     )
     binding = f"CASE WHEN {consumption} <=> {e}.usage THEN 'full_request' ELSE 'different_consumption' END"
     return (

@@ -11,7 +11,6 @@ from tallyline.functions import text as X
 DEFAULT_LIMIT = "codex"
 LEGACY_LIMIT = "legacy"
 WINDOWS = ("primary", "secondary")
-MAX_LIMITS = 128
 
 
 def _at(path: str, base: str = "doc") -> str:
@@ -50,7 +49,7 @@ def parse_readings(readings: DataFrame) -> DataFrame:
     )
     exploded = listed.select(
         "account", "seq", "at_ms", F.expr(f"is_read OR {_kind('many')} <> 'VOID'").alias("is_full"),
-        F.expr("entries IS NULL OR size(entries) > " + str(MAX_LIMITS)).alias("bad_shape"),
+        F.expr("entries IS NULL").alias("bad_shape"),
         F.expr("explode_outer(entries) AS e"),
     ).select("*", F.expr("e.map_id AS map_id"), F.expr("e.body AS body")).drop("e")
     named = exploded.withColumns(

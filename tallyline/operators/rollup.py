@@ -58,8 +58,12 @@ def rollup_differences(rollup: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def content_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Order-free digest per key: counts and sums of two row hashes, exact and mergeable."""
-    others = [c for c in rows.columns]
+    """Order-free digest per key: counts and sums of two row hashes, exact and mergeable.
+
+    The hash function passes over NULLs, so which columns are NULL is hashed beside the values.
+    """
+    absent = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in rows.columns])
+    others = [*rows.columns, absent]
     hashed = rows.select(*keys, F.xxhash64(*others).alias("h1"), F.xxhash64(F.lit("second"), *others).alias("h2"))
     return hashed.groupBy(*keys).agg(
         F.sha2(

@@ -121,14 +121,14 @@ def describe_sessions(rows: DataFrame, facts: DataFrame, sessions: DataFrame, al
 
 
 def turn_totals(facts: DataFrame) -> DataFrame:
-    """Totals per named turn of one session with its first and last time."""
+    """Totals per session and named turn with its first and last time."""
     named = facts.where(F.expr(KNOWN_TURN))
-    keys = ["turn_id"]
+    keys = ["session_key", "turn_id"]
     merged = merge_partials(partials_by(named, keys), keys)
-    times = named.groupBy("turn_id").agg(
+    times = named.groupBy(*keys).agg(
         F.expr("min(occurred_at_ms) AS first_at_ms"), F.expr("max(occurred_at_ms) AS last_at_ms")
     )
-    return present_totals(merged, keys).join(times, "turn_id")
+    return present_totals(merged, keys).join(times, keys)
 
 
 def unidentified_events(facts: DataFrame) -> DataFrame:

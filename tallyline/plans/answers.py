@@ -6,6 +6,7 @@ collected here, and parts nobody reads are never computed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -17,7 +18,7 @@ from tallyline.operators.filters import Selection, UsageFilter
 
 @dataclass
 class Model:
-    facts: DataFrame
+    usage: Callable[[int | None, int | None], DataFrame]  # events of a range, the bounds pushed into the scan
     sessions: DataFrame
     aliases: DataFrame
     projects: DataFrame
@@ -36,7 +37,7 @@ class Model:
 
     @classmethod
     def of(cls, tables, rules: DataFrame, rate_aliases: DataFrame, revision: int) -> "Model":
-        names = ("facts", "sessions", "aliases", "projects", "sources", "files", "generations", "scan_files", "scan_state", "pending", "contexts", "ledgers")
+        names = ("usage", "sessions", "aliases", "projects", "sources", "files", "generations", "scan_files", "scan_state", "pending", "contexts", "ledgers")
         merged = coverage.deduplicated_diagnostics(tables.diagnostics)
         return cls(**{n: getattr(tables, n) for n in names}, diagnostics=merged, rules=rules, rate_aliases=rate_aliases, revision=revision)
 
@@ -49,7 +50,8 @@ class Answer:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return filters.apply_filter(self.model.facts, self.spec, self.model.aliases)
+        ranged = self.model.usage(self.spec.start_ms, self.spec.end_ms)
+        return filters.apply_filter(ranged, self.spec, self.model.aliases)
 
     @cached_property
     def pending(self) -> DataFrame:

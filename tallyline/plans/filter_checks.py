@@ -445,8 +445,8 @@ def sessions_latest_context(spark, directory):
 @register(
     "turns_totals",
     with_tables(
-        f"""SELECT turn_id, min(occurred_at_ms) AS first_at_ms, max(occurred_at_ms) AS last_at_ms, {totals_columns()}
-        FROM facts WHERE turn_id IS NOT NULL GROUP BY turn_id""",
+        f"""SELECT session_key, turn_id, min(occurred_at_ms) AS first_at_ms, max(occurred_at_ms) AS last_at_ms, {totals_columns()}
+        FROM facts WHERE turn_id IS NOT NULL GROUP BY session_key, turn_id""",
         "facts",
     ),
 )
@@ -663,7 +663,8 @@ ON f.occurred_at_ms>={DAY0}+i*86400000 AND f.occurred_at_ms<{DAY0}+(i+1)*8640000
 
 @register("heatmap_levels", with_tables(HEAT_SQL, "facts", extra=DAILY))
 def heatmap_levels(spark, directory):
-    days = series.series(UsageTables(spark, directory).facts, DAY0, DAY0 + DAYS * 86_400_000, "UTC", "day")
+    facts = UsageTables(spark, directory).usage(DAY0, DAY0 + DAYS * 86_400_000)
+    days = series.series(facts, DAY0, DAY0 + DAYS * 86_400_000, "UTC", "day")
     leveled = series.bar_heights(series.heat_levels(days))
     return leveled.select(F.col("bucket_index").alias("day_index"), "total_tokens", "heat_level", "bar_height")
 

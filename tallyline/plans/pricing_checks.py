@@ -85,13 +85,15 @@ def pricing_by_reason(spark, directory):
     return pricing.reason_totals(priced(spark, directory))
 
 
-def _summary_sql(key: str) -> str:
+def _summary_sql(*keys: str) -> str:
+    key = ", ".join(keys)
+    same = " AND ".join(f"q.{k} IS NOT DISTINCT FROM p.{k}" for k in keys)
     return f"""SELECT {key}, CAST(coalesce(sum(CASE WHEN reason IS NULL THEN total_tokens END),0) AS VARCHAR)
       AS priced_total_tokens,
     CAST(coalesce(sum(CASE WHEN reason IS NOT NULL THEN total_tokens END),0) AS VARCHAR) AS unpriced_total_tokens,
     coalesce((SELECT string_agg(c.currency||' '||c.cost, ';' ORDER BY c.currency) FROM
       (SELECT currency, {money_sql('sum(q.cost_atoms)')} AS cost FROM priced q
-       WHERE q.reason IS NULL AND q.{key} IS NOT DISTINCT FROM p.{key} GROUP BY currency) c), '') AS costs
+       WHERE q.reason IS NULL AND {same} GROUP BY currency) c), '') AS costs
     FROM priced p GROUP BY {key}"""
 
 
@@ -110,9 +112,9 @@ def pricing_by_session(spark, directory):
     return _flat_summary(pricing.pricing_summary(priced(spark, directory), ["session_key"]), "session_key")
 
 
-@register("pricing_by_turn", with_tables(_summary_sql("turn_id"), "facts", extra=rates.priced_sql()))
+@register("pricing_by_turn", with_tables(_summary_sql("session_key", "turn_id"), "facts", extra=rates.priced_sql()))
 def pricing_by_turn(spark, directory):
-    return _flat_summary(pricing.pricing_summary(priced(spark, directory), ["turn_id"]), "turn_id")
+    return _flat_summary(pricing.pricing_summary(priced(spark, directory), ["session_key", "turn_id"]), "session_key", "turn_id")
 
 
 @register(

@@ -7,6 +7,7 @@ then carried over the blocks of the file. No file is read by one task unless it
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyline.model import MAX_LINE_BYTES
@@ -39,7 +40,7 @@ def raw_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def framed(lines: DataFrame) -> DataFrame:
-    """path, byte_offset, byte_end, line and oversized, for finished lines only.
+    """path, byte_offset, byte_end, content_hash, line and oversized, for finished lines only.
 
     A last line without its line feed ends past the file and is left for the next read.
     """
@@ -55,15 +56,36 @@ def framed(lines: DataFrame) -> DataFrame:
         "file_size",
         "byte_end - octet_length(value) - 1 AS byte_offset",
         "byte_end",
+        "xxhash64(value) AS content_hash",  # of the whole line, however long
         f"octet_length(value) > {MAX_LINE_BYTES} AS oversized",
         f"CASE WHEN octet_length(value) <= {MAX_LINE_BYTES} THEN"
         " CASE WHEN endswith(value, '\\r') THEN left(value, length(value) - 1) ELSE value END END AS line",
     )
 
 
+def tree_outcomes(spark: SparkSession, *roots: str) -> list[tuple[str, str, str]]:
+    """(root, tree path, readable | missing | unreadable) of the log trees of source roots."""
+    found = []
+    for root in roots:
+        for tree in TREES:
+            name = f"{root.rstrip('/')}/{tree}"
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            try:
+                files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+                state = "readable" if files.exists(path) and files.listStatus(path) is not None else "missing"
+            except Py4JJavaError:  # no permission, or the store does not answer
+                state = "unreadable"
+            found.append((root, name, state))
+    return found
+
+
 def read_logs(spark: SparkSession, *roots: str) -> DataFrame:
-    """Framed lines of the log trees of one or more source roots."""
-    return framed(raw_lines(spark, *[f"{root.rstrip('/')}/{tree}" for root in roots for tree in TREES]))
+    """Framed lines of the log trees of one or more source roots that can be read; what became
+    of every tree is in ``tree_outcomes``."""
+    trees = [name for _, name, state in tree_outcomes(spark, *roots) if state == "readable"]
+    if not trees:
+        return framed(spark.createDataFrame([], "value string, path string, file_size long, block_start long, line_order long"))
+    return framed(raw_lines(spark, *trees))
 
 
 def since(lines: DataFrame, committed: DataFrame) -> DataFrame:

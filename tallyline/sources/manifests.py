@@ -15,7 +15,7 @@ def segment_digests(lines: DataFrame) -> DataFrame:
     """
     return lines.groupBy("path", F.expr(f"byte_offset div {SEGMENT_BYTES} AS segment")).agg(
         F.expr("count(1) AS lines"),
-        F.expr("sum(CAST(xxhash64(byte_offset, line) AS DECIMAL(38,0))) AS digest"),
+        F.expr("sum(CAST(xxhash64(byte_offset, content_hash) AS DECIMAL(38,0))) AS digest"),
     )
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from tallyline.operators.normalize import rfc3339_ms
 
 SCHEMA = "id string, thread_name string, updated_at string"
-MAX_LINE_BYTES = 64 * 1024
 
 
 def latest_titles(lines: DataFrame) -> DataFrame:
@@ -15,7 +14,7 @@ def latest_titles(lines: DataFrame) -> DataFrame:
 
     ``lines``: line and line_no (its order in the index).
     """
-    parsed = lines.where(f"octet_length(line) <= {MAX_LINE_BYTES}").select("line_no", F.from_json("line", SCHEMA).alias("t"))
+    parsed = lines.select("line_no", F.from_json("line", SCHEMA).alias("t"))
     usable = parsed.selectExpr("line_no", "t.id AS session_key", "t.thread_name AS title", f"{rfc3339_ms('t.updated_at')} AS updated_at_ms").where(
         "session_key <> '' AND trim(title) <> '' AND updated_at_ms IS NOT NULL"
     )

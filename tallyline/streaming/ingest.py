@@ -210,10 +210,13 @@ def write_stream(rows: DataFrame, path: str, checkpoint: str, **trigger) -> Stre
 # --- hourly aggregates -----------------------------------------------------------------------------
 
 
-def hourly_totals(events: DataFrame, keys: list[str], lateness: str = "2 hours") -> DataFrame:
-    """Tumbling UTC hours for dashboards; hours close once the watermark has passed."""
+def hourly_totals(events: DataFrame, keys: list[str], lateness: str | None = None) -> DataFrame:
+    """Tumbling UTC hours. An event of any age reaches its hour (use update or complete mode).
+    ``lateness`` bounds the state instead: hours close once that watermark has passed."""
     timed = events.where("event_time_ms IS NOT NULL AND total_tokens > 0").withColumn("event_time", F.timestamp_millis("event_time_ms"))
-    grouped = timed.withWatermark("event_time", lateness).groupBy(F.window("event_time", "1 hour"), *keys)
+    if lateness is not None:
+        timed = timed.withWatermark("event_time", lateness)
+    grouped = timed.groupBy(F.window("event_time", "1 hour"), *keys)
     return grouped.agg(F.expr("sum(CAST(total_tokens AS DECIMAL(38,0))) AS total_tokens"), F.expr("count(1) AS events")).select(
         F.expr("unix_millis(window.start) AS hour_start_ms"), *keys, "total_tokens", "events"
     )
