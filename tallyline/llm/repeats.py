@@ -18,9 +18,10 @@ the prefix hash; prefixes that occur more than once are the long-match candidate
 Exact matching. Windows of a kept suffix lie in one stretch of text, its span. Spans that are equal
 as a whole, with equal places of their windows, match in all windows. Where a prefix has several
 different spans, one of each is read again and the windows are compared one by one by their
-hash together with prefix and offset: prefixes with at most ``GROUP_SPANS`` spans within tasks
-(bounded groups, many at once), the others by a distributed count of window hashes. Both give
-the same result. Hashes have 64 bits and are compared together with the prefix's 64.
+hash together with prefix and offset, in groups of at most about ``GROUP_SPANS`` spans. A prefix
+with more spans is dealt over several groups; what is alone in its group is then looked for in
+the others by a distributed count, to which every group gives each of its windows once. Hashes
+have 64 bits and take in the prefix's.
 
 Scale: shuffled are the kept suffixes (narrow rows, about a seventh of the text), the candidates,
 and the texts twice (to read the spans, and to cut). Hot prefixes combine before the shuffle
@@ -209,69 +210,65 @@ def _ranges(hit: np.ndarray, windows: np.ndarray) -> list[list[dict]]:
     return out
 
 
-_SPAN_COLUMNS = ("prefix", "span", "before", "windows", "slice")
+def _compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Windows that spans of one prefix share, for whole groups of spans.
 
-
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    prefix, span, before, windows = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
-    return prefix, span, before, windows, batch.column(4).to_pylist()
-
-
-def _resolved(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Windows that spans of one prefix share, for whole groups of spans."""
-    prefix, span, before, windows, slices = _columns(batch)
-    _, inverse, count = np.unique(_window_keys(slices, prefix, before, windows), return_inverse=True, return_counts=True)
-    ranges = pa.array(_ranges(count[inverse] > 1, windows), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-    return pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(span), ranges], ["prefix", "span", "ranges"])
+    Of spans that are part of a larger group (parts > 1), ``open`` are the windows seen once here,
+    and ``known`` has each other window once, at one of its spans.
+    """
+    prefix, span, before, windows, parts = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
+    keys = _window_keys(batch.column(6).to_pylist(), prefix, before, windows)
+    _, first, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    hit = count[inverse] > 1
+    ranges = pa.array(_ranges(hit, windows), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+    owner = np.repeat(np.arange(len(windows)), windows)
+    number = np.arange(len(keys)) - np.repeat(np.cumsum(windows) - windows, windows)
+    larger = parts[owner] > 1
+    alone = np.nonzero(larger & ~hit)[0]
+    leads = np.zeros(len(keys), bool)
+    leads[first] = True
+    leads = np.nonzero(larger & hit & leads)[0]
+    offsets = lambda at: pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[at], minlength=len(windows))))).astype(np.int32))
+    signed = keys.view(np.int64)
+    pairs = pa.StructArray.from_arrays([pa.array(number[alone].astype(np.int32)), pa.array(signed[alone])], ["a", "window"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(prefix), pa.array(span), ranges, pa.ListArray.from_arrays(offsets(alone), pairs), pa.ListArray.from_arrays(offsets(leads), pa.array(signed[leads]))],
+        ["prefix", "span", "ranges", "open", "known"],
+    )
 
 
 def _shared_windows(slices: DataFrame) -> DataFrame:
-    """(prefix, span, ranges) for distinct spans (_SPAN_COLUMNS, spans: how many the prefix has)."""
+    """(prefix, span, ranges) for distinct spans (prefix, span, before, windows, spans, slice)."""
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.RecordBatch | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if rest is not None:
                 batch = pa.concat_batches([rest, batch])
-            prefix = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(prefix, prefix[-1]))  # the last group may go on
-            for at in _group_cuts(prefix[:cut]):
-                yield _resolved(batch.slice(*at))
-            rest = batch.slice(cut)
+            prefix, part = batch.column(0).to_numpy(), batch.column(5).to_numpy()
+            starts = np.nonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1]))))[0]
+            at = 0
+            for end in starts[1:]:  # the last group may go on
+                if end - at >= 4096 or end == starts[-1]:
+                    yield _compared(batch.slice(at, end - at))
+                    at = end
+            rest = batch.slice(at)
         if rest is not None:
-            yield _resolved(rest)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                prefix, span, before, count, slices = _columns(part)
-                number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                columns = (np.repeat(prefix, count), np.repeat(span, count), _window_keys(slices, prefix, before, count).view(np.int64), number.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["prefix", "span", "window", "number"])
-
-    result = "prefix long, span long, ranges array<struct<a:int,b:int>>"
-    few = slices.where(F.col("spans") <= GROUP_SPANS).select(*_SPAN_COLUMNS)
-    few = few.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(grouped, result)
-    many = slices.where(F.col("spans") > GROUP_SPANS).select(*_SPAN_COLUMNS).mapInArrow(windows, "prefix long, span long, window long, number int")
-    many = stored(many, "suffix-windows")
-    shared = many.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    many = many.join(shared, "window").groupBy("prefix", "span").agg(F.collect_list(F.struct(F.col("number").alias("a"), F.col("number").alias("b"))).alias("ranges"))
-    return few.union(many)
-
-
-def _group_cuts(prefix: np.ndarray, rows: int = 4096) -> list[tuple[int, int]]:
-    """(start, length) of parts of about ``rows`` rows that do not part a group."""
-    cuts, at = [], 0
-    while at < len(prefix):
-        end = min(at + rows, len(prefix))
-        if end < len(prefix):
-            end = max(int(np.searchsorted(prefix, prefix[end])), int(np.searchsorted(prefix, prefix[at], side="right")))
-        cuts.append((at, end - at))
-        at = end
-    return cuts
+            yield _compared(rest)
+
+    parts = F.ceil(F.col("spans") / GROUP_SPANS).cast("int")
+    dealt = slices.withColumn("parts", parts).withColumn("part", F.pmod(F.hash("span"), F.col("parts")).cast("int"))
+    dealt = dealt.select("prefix", "span", "before", "windows", "parts", "part", "slice").repartition("prefix", "part").sortWithinPartitions("prefix", "part")
+    found = dealt.mapInArrow(compared, "prefix long, span long, ranges array<struct<a:int,b:int>>, open array<struct<a:int,window:long>>, known array<long>")
+    found = stored(found, "suffix-compared")
+    # Every part of a group names each of its windows once; what several parts name is shared.
+    named = found.select(F.explode(F.concat(F.transform("open", lambda w: w["window"]), "known")).alias("window"))
+    shared = named.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    across = found.select("prefix", "span", F.explode("open").alias("w")).select("prefix", "span", F.col("w.a").alias("a"), F.col("w.window").alias("window")).join(shared, "window")
+    across = across.groupBy("prefix", "span").agg(F.collect_list(F.struct("a", F.col("a").alias("b"))).alias("ranges"))
+    return found.select("prefix", "span", "ranges").union(across)
 
 
 def repeated_runs(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
