@@ -35,6 +35,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = r"[A-Za-z0-9_]{8,}"
 LEAST_RATIO = 10.0  # natural units over a whole string
 SCALE = 1000
+BACKING = 5
 
 
 def _located(text: Column, pattern: str, kind: int, value_group: int | None) -> Column:
@@ -67,23 +68,29 @@ def train(docs: DataFrame) -> list[int]:
     found = id_text(docs).where("text IS NOT NULL")
     no = F.array().cast("array<string>")
     extract = lambda p, g: F.when(F.col("text").rlike(p), F.regexp_extract_all("text", F.lit(p), F.lit(g))).otherwise(no)
-    random = F.filter(F.concat(extract(ASSIGN, 1), extract(ACCESS, 0), extract(HEX, 0)), lambda s: F.length(s) >= LEAST_ASSIGNED)
+    secret = F.filter(F.concat(extract(ASSIGN, 1), extract(ACCESS, 0), extract(HEX, 0)), lambda s: F.length(s) >= LEAST_ASSIGNED)
     rest = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.when(rest.rlike(pattern), F.regexp_replace(rest, pattern, " ")).otherwise(rest)
     ordinary = F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0))
-    each = F.explode(F.array(F.struct(F.lit(1).alias("kind"), random.alias("s")), F.struct(F.lit(0).alias("kind"), ordinary.alias("s")))).alias("e")
+    each = F.explode(F.array(F.struct(F.lit(1).alias("kind"), secret.alias("s")), F.struct(F.lit(0).alias("kind"), ordinary.alias("s")))).alias("e")
     pairs = found.select(each).select("e.kind", _pairs(F.col("e.s"))).groupBy("kind", "pair").agg(F.count("*").alias("n"))
     size = len(ALPHABET)
-    tables = [[[1.0] * size for _ in range(size)] for _ in range(2)]  # one more of each pair
-    seen = [0, 0]
+    tables = [[[0] * size for _ in range(size)] for _ in range(2)]
     for row in pairs.where(F.col("pair").rlike(f"^[{ALPHABET[:-1]}-]{{2}}$")).collect():
-        tables[row.kind][ALPHABET.index(row.pair[0])][ALPHABET.index(row.pair[1])] += row.n
-        seen[row.kind] += row.n
-    if not all(seen):
+        tables[row.kind][ALPHABET.index(row.pair[0])][ALPHABET.index(row.pair[1])] = row.n
+    ordinary, random = map(_chances, tables)
+    if not ordinary or not random:
         return []
-    ratio = lambda r, o, j: math.log(r[j] / sum(r)) - math.log(o[j] / sum(o))
-    return [round(SCALE * ratio(r, o, j)) for r, o in zip(tables[1], tables[0]) for j in range(size)]
+    return [round(SCALE * math.log(random[i][j] / ordinary[i][j])) for i in range(size) for j in range(size)]
+
+
+def _chances(counts: list[list[int]]) -> list[list[float]]:
+    """Chance of each next character. A row leans on the overall chances as on BACKING more pairs,
+    and those on one more of each character. Empty without any pair."""
+    size, total = len(counts), sum(map(sum, counts))
+    overall = [(sum(row[j] for row in counts) + 1) / (total + size) for j in range(size)]
+    return [[(row[j] + BACKING * overall[j]) / (sum(row) + BACKING) for j in range(size)] for row in counts] if total else []
 
 
 def _ratio(string: Column, model: list[int]) -> Column:
