@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return os.path.dirname(current.rstrip("/"))
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="tallyline-checkpoint-")
+    scratch = tempfile.mkdtemp(prefix="tallyline-checkpoint-")  # one process: its own folder is shared
+    spark.sparkContext.setCheckpointDir(scratch)
+    return scratch
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
