@@ -12,7 +12,7 @@ weighted to the true share of labels, is the calibrated score.
 
 The sample is bounded: at most ``TRAIN_PER_CLASS`` documents per label, those with the least hash
 of their id. Word counts of the sample are taken by Spark; only the chosen words (at most 300)
-and the four features of each sampled document reach the driver. Scoring is one pass without a
+and the features of each sampled document reach the driver. Scoring is one pass without a
 shuffle, over whole texts.
 
 Defined cases: a NULL text is scored like an empty one, which has no evidence. Several labels of
@@ -43,9 +43,10 @@ LEAST_SHARE = 0.05  # of the toxic documents that hold a word
 LEAST_LOG_ODDS = 2.0
 WINDOW, STEP = 63, 48
 PIECE, PIECE_STEP = 26, 6
-SUSPECT, EVIDENCE = 2, 5
+SUSPECT = 2
+EVIDENCE = (3, 4, 5, 6, 7)
 LEVEL = 6
-FEATURES = ("largest", "second", "many", "length")
+FEATURES = ("largest", "second", *(f"at_{n}" for n in EVIDENCE), "length")
 WORD_BYTES = re.compile(rb"[^\x00-/:-@\[-`{-\x7f]+")
 
 
@@ -69,7 +70,7 @@ def _compressors(toxic: str, ordinary: str):
     return make(toxic).compress, make(ordinary).compress
 
 
-def evidence(text: str | None, toxic: str, ordinary: str) -> tuple[float, float, float, float]:
+def evidence(text: str | None, toxic: str, ordinary: str) -> tuple[float, ...]:
     """FEATURES of a whole text."""
     with_toxic, with_ordinary = _compressors(toxic, ordinary)
     line = b" " + b" ".join(WORD_BYTES.findall((text or "").lower().encode())) + b" "
@@ -81,7 +82,8 @@ def evidence(text: str | None, toxic: str, ordinary: str) -> tuple[float, float,
             pieces = [window[i : i + PIECE] for i in range(0, max(1, len(window) - PIECE + PIECE_STEP), PIECE_STEP)]
             found.append(max(len(with_ordinary(p)) - len(with_toxic(p)) for p in pieces))
     first, second = sorted(found)[: -3 : -1]
-    return min(first, 12.0) * 1.0, min(second, 12.0) * 1.0, float(np.log1p(sum(x >= EVIDENCE for x in found))), float(np.log1p(len(windows)))
+    many = [float(np.log1p(sum(x >= least for x in found))) for least in EVIDENCE]
+    return float(min(first, 12)), float(min(second, 12)), *many, float(np.log1p(len(windows)))
 
 
 def features(text: Column, toxic: str, ordinary: str) -> Column:
