@@ -110,7 +110,8 @@ def load(path: str) -> Pieces:
 
 
 def common_words(docs: DataFrame, model: str, limit: int = LATTICE_WORDS) -> DataFrame:
-    """(word, n): the commonest words of all texts, ties by the word; at most ``limit``."""
+    """(word, n): the commonest words of all texts, at most ``limit``. Counts are cut at a step of
+    a logarithmic scale, so nothing is sorted and words of like counts stay or go together."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -130,7 +131,16 @@ def common_words(docs: DataFrame, model: str, limit: int = LATTICE_WORDS) -> Dat
         yield given()
 
     words = docs.select("text").mapInArrow(counted, "word string, n long").where(F.length("word") <= LONGEST_WORD)
-    return words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+    words = stored(words.groupBy("word").agg(F.sum("n").alias("n")), "lattice-counts")
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r.step, r.words) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)  # at most 16 * 64
+    least, taken = 1 << 30, 0
+    for number, size in sizes:
+        taken += size
+        if taken > limit:
+            break
+        least = number
+    return words.where(step >= least)
 
 
 def lattice_segments(words: DataFrame, model: str) -> DataFrame:
