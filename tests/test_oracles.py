@@ -30,7 +30,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()) if os.environ.get("TALLYLINE_ALL") else SAMPLE)
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()) if os.environ.get("TALLYLINE_ALL") else SAMPLE)
 def test_query(spark, duck, name):
     found = entry.queries()[name](spark, DIRECTORY)
     columns = sorted(found.columns)
