@@ -46,7 +46,7 @@ from tallyline.llm.common import discard, id_text, stored
 
 LENGTH = 200
 BATCHES = 4
-GROUP_SPANS = 512
+GROUP_SPANS = 4096
 PREFIX = 64  # bytes of a suffix that its order is decided by
 WINDOWS = LENGTH - PREFIX + 1
 SLICE = 1 << 18
@@ -251,7 +251,7 @@ def _shared_windows(slices: DataFrame) -> DataFrame:
             starts = np.nonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1]))))[0]
             at = 0
             for end in starts[1:]:  # the last group may go on
-                if end - at >= 4096 or end == starts[-1]:
+                if end - at >= GROUP_SPANS or end == starts[-1]:
                     yield _compared(batch.slice(at, end - at))
                     at = end
             rest = batch.slice(at)
