@@ -86,6 +86,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
 
 
+def test_toxicity_of_varied_words_on_common_stems(spark):
+    # Each toxic word is rare, in one language of two; only its stem is common.
+    rng = random.Random(8)
+    ends = [a + b for a in "ba ke li mo nu ra se ti vo zu".split() for b in "l n r s t m d k".split()]
+    plain = [a + b for a in "the wat gar fie sto clo hou riv lig und".split() for b in ends]
+    texts, marks = [], []
+    for i in range(600):
+        stem = ("réeux", "achlich")[i % 2]
+        words = [rng.choice(plain) for _ in range(rng.randrange(20, 90))]
+        if i % 6 < 2:
+            for _ in range(6):
+                words.insert(rng.randrange(len(words)), stem + rng.choice(ends))
+        texts.append(" ".join(words))
+        marks.append((i, 1, int(i % 6 < 2), "x"))
+    docs = documents(spark, texts)
+    rows = toxicity.score(docs, toxicity.train(docs, labels(spark, marks))).where("held_out").collect()
+    for parity in (0, 1):
+        right = [r.predicted == marks[r.doc_id][2] for r in rows if r.doc_id % 2 == parity]
+        assert np.mean(right) > 0.95
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.train(documents(spark, ["a"]), labels(spark, []))
     assert [r.score for r in toxicity.score(documents(spark, ["a", None]), model).collect()] == [0.0, 0.0]
