@@ -8,11 +8,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyline.llm import decontaminate, embeddings, quality, repeats, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
+from tallyline.llm import alignment, decontaminate, embeddings, packing, prefix_trie, quality, repeats, secrets, sentence_pieces, sharding, simhash, token_counts, toxicity
 from tallyline.llm.common import read
 
 TOKEN_LIMIT = 1024
 SHARDS = 16
+SEQUENCE_TOKENS = 2048
 
 
 def vocabulary(name: str) -> str:
@@ -73,6 +74,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"), borrowed=True)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), SEQUENCE_TOKENS)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.scored(aligned.withColumn("groups_sha256", digest).drop("groups"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_quality,
         op10_sharding,
+        op11_prefix_trie,
+        op12_packing,
+        op13_alignment,
     )
 }
 
