@@ -16,6 +16,7 @@ from tallyline.operators.scan import chunked_scan
 from tallyline.session import cut_lineage
 
 NEVER = 2**62
+MAX_SENT_NODES = 100_000  # nodes of a search that are broadcast
 
 CREDIBLE = (
     "event_time_ms IS NOT NULL"
@@ -52,8 +53,9 @@ def physical_sequences(observations: DataFrame, generations: DataFrame) -> tuple
     usage = observations.where("kind = 'usage'").withColumn(
         "sequence_key", F.concat_ws("|", "session_key", "file_generation_id")
     )
+    more = [c for c in ("byte_end", "model_context_window") if c in usage.columns]
     records = dense_ordinals(
-        usage.select("sequence_key", "session_key", "file_generation_id", "byte_offset", "event_time_ms", "last", "cumulative", "signature"),
+        usage.select("sequence_key", "session_key", "file_generation_id", "byte_offset", "event_time_ms", "last", "cumulative", "signature", *more),
         ["sequence_key"], "byte_offset", f"byte_offset div {64 * 1024 * 1024}",
     )
     headers = observations.where("kind = 'session_metadata'").groupBy("session_key", "file_generation_id").agg(
@@ -252,15 +254,17 @@ def classify_copies(plan: DataFrame, records: DataFrame) -> tuple[DataFrame, Dat
 
     Copies of a canonical slot become mirror evidence and a verified_mirror duplicate;
     records of isolated sequences stay pending with the reason they were isolated for.
+    Positions and times go along where the records have them.
     """
+    more = [c for c in ("file_generation_id", "byte_offset", "event_time_ms") if c in records.columns]
     roles = plan.select("sequence_key", "role", "group_session_key", "longest_key", "primary_length", "isolated_reason")
     placed = records.join(roles, "sequence_key")
     is_origin = "(role = 'primary' OR (sequence_key = longest_key AND ordinal >= primary_length))"
     copies = placed.where(f"role <> 'isolated' AND NOT {is_origin}")
-    provenance = copies.selectExpr("group_session_key", "ordinal", "sequence_key", "'mirror' AS role")
-    duplicates = copies.selectExpr("sequence_key", "ordinal", "'duplicate' AS kind", "'verified_mirror' AS reason_code")
+    provenance = copies.selectExpr("group_session_key", "ordinal", "sequence_key", "'mirror' AS role", *more)
+    duplicates = copies.selectExpr("sequence_key", "ordinal", "'duplicate' AS kind", "'verified_mirror' AS reason_code", *more)
     isolated = placed.where("role = 'isolated'").selectExpr(
-        "sequence_key", "ordinal", "'pending' AS kind", "isolated_reason AS reason_code"
+        "sequence_key", "ordinal", "'pending' AS kind", "isolated_reason AS reason_code", *more
     )
     return provenance, duplicates.unionByName(isolated)
 
@@ -353,18 +357,37 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
 
 
+def seeded_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node): all nodes that undirected ``edges`` (a, b) tie to the ``seeds`` (node), seeds included.
+
+    A search from the seeds: each round reads the edges against the nodes found in the round
+    before and keeps what is new. While those nodes are few they are sent to the edges, so only
+    matches are shuffled and written; the rest of the graph is scanned and left alone. The rounds
+    follow the distance of the farthest node.
+    """
+    both = edges.selectExpr("a", "b").unionByName(edges.selectExpr("b AS a", "a AS b"))
+    frontier = reached = cut_lineage(seeds.select("node").distinct())
+    while found := frontier.count():
+        asked = frontier.withColumnRenamed("node", "a")
+        met = both.join(F.broadcast(asked) if found <= MAX_SENT_NODES else asked, "a", "left_semi").select(F.col("b").alias("node"))
+        frontier = cut_lineage(met.distinct().join(reached, "node", "left_anti"))
+        reached = reached.unionByName(frontier)
+    return reached
+
+
 def dependency_closure(sessions: DataFrame, aliases: DataFrame, seeds: DataFrame) -> DataFrame:
-    """All sessions tied to the seeds by parent, same provider id or alias edges."""
-    parents = sessions.where("parent_key IS NOT NULL").selectExpr("session_key AS a", "parent_key AS b")
-    mirrors = aliases.selectExpr("alias_session_key AS a", "canonical_session_key AS b")
-    same = sessions.where("provider_session_id IS NOT NULL").groupBy("provider_session_id").agg(
-        F.expr("min(session_key) AS first_key")
-    )
-    copies = sessions.join(same, "provider_session_id").selectExpr("session_key AS a", "first_key AS b")
-    alone = sessions.selectExpr("session_key AS a", "session_key AS b")
-    labelled = components(parents.unionByName(mirrors).unionByName(copies).unionByName(alone))
-    wanted = labelled.join(seeds.selectExpr("session_key AS node"), "node", "left_semi").select("component").distinct()
-    return labelled.join(wanted, "component", "left_semi").selectExpr("node AS session_key", "component")
+    """All sessions tied to the seeds by parent, same provider id or alias edges.
+
+    Sessions of one provider id are tied through a node of that id, so no group is ever paired.
+    """
+    parents = sessions.where("parent_key IS NOT NULL").selectExpr("concat('s', session_key) AS a", "concat('s', parent_key) AS b")
+    mirrors = aliases.selectExpr("concat('s', alias_session_key) AS a", "concat('s', canonical_session_key) AS b")
+    same = sessions.where("provider_session_id IS NOT NULL").selectExpr("concat('s', session_key) AS a", "concat('i', provider_session_id) AS b")
+    ends = sessions.select("session_key").unionByName(sessions.where("parent_key IS NOT NULL").selectExpr("parent_key AS session_key"))
+    ends = ends.unionByName(aliases.selectExpr("explode(array(alias_session_key, canonical_session_key)) AS session_key"))
+    known = seeds.select("session_key").join(ends, "session_key", "left_semi").selectExpr("concat('s', session_key) AS node")
+    found = seeded_closure(parents.unionByName(mirrors).unionByName(same), known)
+    return found.where("startswith(node, 's')").selectExpr("substring(node, 2) AS session_key")
 
 
 def manifest_changes(frozen: DataFrame, current: DataFrame) -> DataFrame:

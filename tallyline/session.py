@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,9 @@ RUNTIME_SETTINGS = {
 }
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def build_session(app: str = "tallyline", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the engine's settings; the cluster's own submit settings win where set."""
     builder = SparkSession.builder.appName(app)
@@ -58,6 +63,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_sizes(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, as a table whose size is known. For jobs of many steps.
+
+    A checkpoint hands on the size that its plan guessed. Each join multiplies the guesses of its
+    sides, so after a dozen steps a plan spends its time on numbers of thousands of digits and
+    never sends a small side to a large one. The tables go when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """This application's folder for tables that end with it."""
+    application = spark.sparkContext.applicationId
+    folder = _SCRATCH.get(application)
+    if folder is None:
+        folder = _SCRATCH[application] = f"{shared_dir(spark).rstrip('/')}/tallyline-{application}"
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone already, and its JVM with it
+        pass
+
+
 def require_at_most(df: DataFrame, limit: int, what: str) -> DataFrame:
     """Prove a size bound before a table may be broadcast; reads at most limit + 1 rows."""
     if df.limit(limit + 1).count() > limit:
