@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyline.functions import text as X, vectors as V
@@ -186,6 +188,29 @@ def publication_models(publications: DataFrame, revision: int) -> DataFrame:
     )
 
 
+# What a response proved about an event; NULL where there is no such proof.
+REQUEST_EVIDENCE = {"actual_tier": "string", "request_input": "struct<input_tokens:bigint,binding:string>"}
+
+
+def with_request_evidence(events: DataFrame) -> DataFrame:
+    """Events with the columns that ``with_catalog`` reads, NULL where the events have none."""
+    return events.withColumns({n: F.lit(None).cast(t) for n, t in REQUEST_EVIDENCE.items() if n not in events.columns})
+
+
+def published_rules(rules: DataFrame, publications: DataFrame, revisions: Sequence[int]) -> DataFrame:
+    """The rate table after publishing each revision's catalog in turn.
+
+    A catalog that was published before, under whatever revision, adds nothing: its rules are
+    known by the catalog's id.
+    """
+    for revision in sorted(revisions):
+        document = publications.where(F.col("introduced_revision") == revision)
+        known = rules.where("origin = 'offline'").select(F.split_part("rule_id", F.lit("/"), F.lit(2)).alias("catalog_id")).distinct()
+        if not document.join(known, "catalog_id", "left_anti").isEmpty():
+            rules = publish(rules, document, revision)
+    return rules
+
+
 def with_catalog(selected: DataFrame, publications: DataFrame, revision: int) -> DataFrame:
     """Refine chosen rules with the catalog that was in force at the priced time.
 

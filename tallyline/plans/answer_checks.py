@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from tallyline.operators import catalog, pricing
 from tallyline.operators.filters import Selection, UsageFilter
 from tallyline.plans import answers, rates, store_checks  # noqa: F401  (its SQL twins are used below)
 from tallyline.plans.catalog_usage import END, IN_SPAN, SPAN, START
@@ -184,6 +187,68 @@ def answer_events_page(spark, directory):
     return rows.select("event_id", "session_display_name", "project_display_name", "cost_atoms", "reason")
 
 
+# What responses proved, by remainders of k: the tier, whether it binds the whole request, and its size.
+EVIDENCE_SQL = f"""(SELECT *, {store_checks.TIER} AS tier, k%8<>7 AS full_request, CASE WHEN coalesce(input_total,1)*200<=272000 THEN 'short' ELSE 'long' END AS band FROM facts)"""
+
+
+def priced_by_catalogs(spark, directory) -> answers.Model:
+    tables = UsageTables(spark, directory)
+    documents = rates.catalogs(spark)
+    table = catalog.published_rules(rates.rules(spark, rates.BESIDE_CATALOGS), documents, (1, 2))
+    model = answers.Model.of(tables, table, rates.aliases(spark), rates.REVISION, documents)
+    binding = "CASE WHEN k % 8 <> 7 THEN 'full_request' ELSE 'different_consumption' END"
+    proofs = {
+        "actual_tier": F.expr(store_checks.TIER),
+        "request_input": F.expr(f"named_struct('input_tokens', coalesce(input_total, 1L) * 200, 'binding', {binding})"),
+    }
+    return replace(model, usage=lambda start, end: tables.usage(start, end).withColumns(proofs))
+
+
+@register(
+    "answer_events_catalog",
+    with_tables(
+        """SELECT event_id, matched_kind, matched_rule_id, reason, currency, CAST(cost_atoms AS VARCHAR) AS cost_atoms, coalesce(input_total,1)*200 AS request_input_tokens
+        FROM priced ORDER BY occurred_at_ms DESC, event_id LIMIT 101""",
+        "facts",
+        extra="evident AS " + EVIDENCE_SQL + ", " + rates.catalog_priced_sql(IN_F).replace("FROM facts f", "FROM evident f"),
+    ),
+)
+def answer_events_catalog(spark, directory):
+    """Events with the rule or catalog quote that decided, and the request it was read for."""
+    rows = answers.events_page(priced_by_catalogs(spark, directory), SPAN, "time_desc", 100)["events"]
+    return rows.selectExpr(
+        "event_id", "matched_kind", "matched_rule_id", "reason", "currency", "cost_atoms", "request_input.input_tokens AS request_input_tokens"
+    )
+
+
+@register(
+    "answer_header_catalog",
+    with_tables(
+        f"""SELECT CAST(sum(total_tokens) AS VARCHAR) AS total_tokens, CAST(sum(CASE WHEN reason IS NULL THEN total_tokens END) AS VARCHAR) AS priced_total_tokens,
+        {costs_sql('true')} AS costs, {REASONS_SQL} AS reasons FROM priced""",
+        "facts",
+        extra="evident AS " + EVIDENCE_SQL + ", " + rates.catalog_priced_sql(IN_F).replace("FROM facts f", "FROM evident f"),
+    ),
+)
+def answer_header_catalog(spark, directory):
+    row = answers.header(answers.Answer(priced_by_catalogs(spark, directory), SPAN))
+    return row.selectExpr("total_tokens", "priced_total_tokens", COSTS, REASONS)
+
+
+@register(
+    "catalog_published_rules",
+    with_tables("SELECT rule_id, count(*) AS events FROM (SELECT best_rule AS rule_id FROM rated WHERE same=1) GROUP BY 1", "facts",
+                extra=rates.priced_sql(table=[*rates.BESIDE_CATALOGS, *rates.published_rows()])),
+)
+def catalog_published_rules(spark, directory):
+    """Events by the rule that holds at their time, after each catalog was published twice."""
+    documents = rates.catalogs(spark)
+    table = catalog.published_rules(rates.rules(spark, rates.BESIDE_CATALOGS), documents, (1, 2))
+    table = catalog.published_rules(table, documents, (1, 2))
+    chosen = pricing.select_rules(UsageTables(spark, directory).facts, table, rates.aliases(spark), rates.REVISION)
+    return chosen.where("rule IS NOT NULL").groupBy(F.col("rule.rule_id").alias("rule_id")).agg(F.expr("count(1) AS events"))
+
+
 @register(
     "answer_context",
     with_tables(

@@ -34,12 +34,13 @@ class Model:
     rules: DataFrame
     rate_aliases: DataFrame
     revision: int
+    publications: DataFrame | None = None  # rate catalogs by revision; they refine what the rules decide
 
     @classmethod
-    def of(cls, tables, rules: DataFrame, rate_aliases: DataFrame, revision: int) -> "Model":
+    def of(cls, tables, rules: DataFrame, rate_aliases: DataFrame, revision: int, publications: DataFrame | None = None) -> "Model":
         names = ("usage", "sessions", "aliases", "projects", "sources", "files", "generations", "scan_files", "scan_state", "pending", "contexts", "ledgers")
         merged = coverage.deduplicated_diagnostics(tables.diagnostics)
-        return cls(**{n: getattr(tables, n) for n in names}, diagnostics=merged, rules=rules, rate_aliases=rate_aliases, revision=revision)
+        return cls(**{n: getattr(tables, n) for n in names}, diagnostics=merged, rules=rules, rate_aliases=rate_aliases, revision=revision, publications=publications)
 
 
 class Answer:
@@ -63,7 +64,10 @@ class Answer:
 
     def price(self, facts: DataFrame) -> DataFrame:
         m = self.model
-        return pricing.price_events(facts, m.rules, m.rate_aliases, m.revision, self.specified_ms)
+        if m.publications is None:
+            return pricing.price_events(facts, m.rules, m.rate_aliases, m.revision, self.specified_ms)
+        chosen = pricing.select_rules(catalog.with_request_evidence(facts), m.rules, m.rate_aliases, m.revision, self.specified_ms)
+        return pricing.with_outcome(catalog.with_catalog(chosen, m.publications, m.revision))
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -249,7 +253,8 @@ def events_page(model: Model, spec: UsageFilter, sort: str, size: int, position:
     answer = Answer(model, spec, specified_ms)
     order = {"time_desc": "occurred_at_ms", "total_desc": "total_tokens"}[sort]
     found = pages.page(answer.facts, order, "event_id", size, position)
-    priced = catalog.explanation(pricing.with_cost(answer.price(found)).withColumn("selection", F.lit("rule")))
+    priced = pricing.with_cost(answer.price(found))
+    priced = catalog.explanation(priced if model.publications is not None else priced.withColumn("selection", F.lit("rule")))
     names = model.sessions.select("session_key", F.coalesce("provider_session_id", "session_key").alias("session_display_name"))
     labels = model.projects.select("project_id", F.coalesce("user_alias", "display_name").alias("project_display_name"))
     return {

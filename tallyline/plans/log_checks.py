@@ -96,6 +96,32 @@ def log_observations(spark, directory):
     )
 
 
+# One line a file, by event: plain, with more text, with repeated keys, closing what it did not open,
+# with a second value, and with white space around.
+GRAMMAR = """CASE event_number % 6
+WHEN 0 THEN body WHEN 1 THEN concat(body, ' {}')
+WHEN 2 THEN concat('{"type":"event_msg","payload":{"id":"lost"},', substring(replace(body, '"payload":{', '"payload":{"cwd":"/lost","id":"lost",'), 2))
+WHEN 3 THEN concat(body, CASE WHEN k % 2 = 0 THEN '] {}' ELSE '} {}' END)
+WHEN 4 THEN concat(body, ', {}') ELSE concat(' ', body, ' \t') END"""
+
+
+@register(
+    "log_grammar",
+    with_tables(
+        """SELECT 'j'||event_number AS file_generation_id, CASE WHEN event_number%6 IN (0,2,5) THEN 'session_metadata' ELSE 'diagnostic' END AS kind,
+        CASE WHEN event_number%6 IN (1,3,4) THEN 'invalid_json_or_utf8' END AS reason, CASE WHEN event_number%6 IN (0,2,5) THEN 'codex:e'||event_number END AS session_key,
+        CASE WHEN event_number%6 IN (0,2,5) THEN '/w'||k END AS cwd FROM facts0""",
+        "facts0",
+    ),
+)
+def log_grammar(spark, directory):
+    body = "concat('{\"type\":\"session_meta\",\"payload\":{\"id\":\"e', event_number, '\",\"cwd\":\"/w', k, '\"},\"more\":[{\"a\":[1]}]}')"
+    lines = UsageTables(spark, directory).facts.withColumn("body", F.expr(body)).selectExpr(
+        "concat('j', event_number) AS file_generation_id", "0L AS byte_offset", "500L AS byte_end", f"{GRAMMAR} AS line", "false AS oversized"
+    )
+    return normalize.normalize(lines).select("file_generation_id", "kind", "reason", "session_key", "cwd")
+
+
 @register(
     "log_projects",
     "SELECT DISTINCT 'project-'||sha256('/home/w'||(user_id%7)) AS project_id, 'w'||(user_id%7) AS display_name FROM events",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,8 @@ RULE_COLUMNS = tuple(f.name for f in PRICE_RULE.fields)
 ALIAS_COLUMNS = tuple(f.name for f in MODEL_ALIAS.fields)
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    rows = [r[:10] + tuple(None if v is None else Decimal(v) for v in r[10:14]) + r[14:] for r in RULES]
+def rules(spark: SparkSession, table: list[tuple] = RULES) -> DataFrame:
+    rows = [r[:10] + tuple(None if v is None else Decimal(v) for v in r[10:14]) + r[14:] for r in table]
     return spark.createDataFrame(rows, PRICE_RULE)
 
 
@@ -116,11 +117,66 @@ def catalog_values(name: str = "catalog_quotes") -> str:
     return values(rows, columns, name)
 
 
-def priced_sql(where: str = "true", revision: int = REVISION, specified_ms: int | None = None, facts: str = "facts") -> str:
+# The rules beside the catalogs: click is left to them, and one rule of a shipped table stays.
+BESIDE_CATALOGS = [
+    *[r for r in RULES if r[0] not in ("r-click-off", "r-beta-signup")],
+    ("r-beta-signup-off", 1, None, "beta", "signup", None, "GBP", FAR, None, 0, 123_456_789, None, 123_456_789, 987_654_321, "offline"),
+]
+
+
+def _closed(rule_id: str) -> str:
+    return "offline-history/" + hashlib.sha256(f'[2,"{rule_id}"]'.encode()).hexdigest()
+
+
+def published_rows() -> list[tuple]:
+    """What publishing both catalogs leaves in the rate table, for the SQL twin."""
+    first, second = (c[0] for c in CATALOGS)
+    flat = {"click": (1_250_000_000, 1_250_000_000, None, 10_000_000_000), "purchase": (500_000_000, None, None, 2_000_000_000)}
+    closed = [(_closed(f"offline/{first}/{m}"), 2, None, "alpha", m, None, "USD", CATALOGS[0][1], MID, 0, *r, "offline") for m, r in flat.items()]
+    return [*closed, (f"offline/{second}/click", 2, None, "alpha", "click", None, "USD", MID, None, 0, 1_500_000_000, 150_000_000, None, 12_000_000_000, "offline")]
+
+
+def catalog_priced_sql(where: str) -> str:
+    """CTEs ending in ``priced`` with the catalogs: also selection, matched_kind and matched_rule_id.
+    The facts carry tier, full_request and band."""
+    (first, since, *_), (second, *_) = CATALOGS
+    refs = [
+        (first, m, since, MID, _closed(f"offline/{first}/{m}") if m != "signup" else None) for m in ("click", "signup", "purchase")
+    ] + [(second, "click", MID, None, f"offline/{second}/click"), (second, "signup", MID, None, None)]
+    base = priced_sql(where, table=[*BESIDE_CATALOGS, *published_rows()]).split("judged AS (")[0]
+    return f"""{catalog_values()}, {values(refs, ("ref_id", "ref_model", "ref_from", "ref_to", "flat_id"), "refs")}, {base}
+refd AS (SELECT *, CASE WHEN same=1 THEN best_rule END AS own_rule, coalesce(same=1 AND origin='offline' AND best_rule=flat_id,false) AS owns
+  FROM rated LEFT JOIN refs ON provider='alpha' AND ref_model=canonical AND ref_from<=price_at AND (ref_to IS NULL OR price_at<ref_to)),
+sure AS (SELECT *, ref_id IS NOT NULL AND (own_rule IS NULL OR owns) AND tier IS NOT NULL AND NOT (alias_amb OR same>1) AS confirmed FROM refd),
+quoted AS (SELECT s.*, q.model_exact IS NOT NULL AS has_quote, q.context, q.input_rate, q.cached_rate, q.write_rate, q.output_rate FROM sure s LEFT JOIN catalog_quotes q
+  ON s.confirmed AND s.full_request AND q.catalog_id=s.ref_id AND q.model_exact=s.canonical AND q.tier=s.tier AND (q.context='all' OR q.context=s.band)),
+settled AS (SELECT * REPLACE (CASE WHEN confirmed THEN input_rate ELSE ri END AS ri, CASE WHEN confirmed THEN cached_rate ELSE rc END AS rc,
+  CASE WHEN confirmed THEN write_rate ELSE rw END AS rw, CASE WHEN confirmed THEN output_rate ELSE ro END AS ro,
+  CASE WHEN confirmed THEN 'USD' ELSE rule_currency END AS rule_currency),
+  CASE WHEN confirmed THEN CASE WHEN has_quote THEN 'offline/'||ref_id||'/'||canonical||'/'||tier||'/'||context END ELSE own_rule END AS final_rule,
+  CASE WHEN confirmed THEN NOT has_quote ELSE own_rule IS NULL AND ref_id IS NOT NULL AND flat_id IS NULL END AS conditions_missing FROM quoted),
+judged AS (SELECT *, CASE WHEN provider IS NULL OR model IS NULL THEN 'unknown_model'
+  WHEN alias_amb OR same>1 THEN 'ambiguous_rule' WHEN conditions_missing THEN 'incomplete_pricing_conditions' WHEN final_rule IS NULL THEN 'missing_rule'
+  WHEN input_total IS NULL OR output_total IS NULL OR remaining<0 THEN 'insufficient_usage'
+  WHEN coalesce(cached_input,0)<>0 AND rc IS NULL THEN 'insufficient_usage'
+  WHEN cached_input IS NULL AND NOT (remaining=0 OR coalesce(rc=ri,false)) THEN 'insufficient_usage'
+  WHEN coalesce(cache_write_input,0)<>0 AND rw IS NULL THEN 'insufficient_usage'
+  WHEN cache_write_input IS NULL AND NOT (remaining=0 OR coalesce(rw=ri,false) OR rw IS NULL) THEN 'insufficient_usage' END AS reason FROM settled),
+priced AS (SELECT *, CASE WHEN reason IS NULL THEN rule_currency END AS currency,
+  CASE WHEN final_rule IS NOT NULL AND NOT (alias_amb OR same>1) THEN final_rule END AS matched_rule_id,
+  CASE WHEN final_rule IS NOT NULL AND NOT (alias_amb OR same>1) THEN CASE WHEN confirmed THEN 'offline_request_reference' WHEN owns THEN 'offline_standard_reference'
+    WHEN origin='custom' THEN 'custom_rule' ELSE 'offline_rule' END END AS matched_kind,
+  CASE WHEN reason IS NULL THEN CAST(remaining AS HUGEINT)*ri+CAST(coalesce(cached_input,0) AS HUGEINT)*coalesce(rc,0)
+    +CAST(coalesce(cache_write_input,0) AS HUGEINT)*coalesce(rw,0)+CAST(output_total AS HUGEINT)*ro END AS cost_atoms FROM judged)"""
+
+
+def priced_sql(
+    where: str = "true", revision: int = REVISION, specified_ms: int | None = None, facts: str = "facts", table: list[tuple] = RULES
+) -> str:
     """CTEs ending in ``priced``: facts with reason, rule_id, currency and cost."""
     at = str(specified_ms) if specified_ms is not None else "f.occurred_at_ms"
     live = f"introduced_revision<={revision} AND (retired_revision IS NULL OR retired_revision>{revision})"
-    return f"""{values(RULES, RULE_COLUMNS, 'all_rules')},
+    return f"""{values(table, RULE_COLUMNS, 'all_rules')},
 {values(ALIASES, ALIAS_COLUMNS, 'all_aliases')},
 al AS (SELECT provider AS ap, alias, count(DISTINCT canonical_model) AS n, min(canonical_model) AS target
   FROM all_aliases WHERE {live} GROUP BY 1, 2),

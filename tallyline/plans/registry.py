@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from tallyline.plans import answer_checks, catalog_usage, filter_checks, log_checks, pricing_checks, replay_checks, store_checks  # noqa: F401
+    from tallyline.plans import answer_checks, catalog_usage, filter_checks, log_checks, pricing_checks, replay_checks, store_checks, stored_checks  # noqa: F401

@@ -71,12 +71,12 @@ def cut_sizes(df: DataFrame) -> DataFrame:
     never sends a small side to a large one. The tables go when the session ends.
     """
     spark = df.sparkSession
-    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch_dir(spark: SparkSession) -> str:
     """This application's folder for tables that end with it."""
     application = spark.sparkContext.applicationId
     folder = _SCRATCH.get(application)
