@@ -21,7 +21,6 @@ Columns other than id and text are not read. An empty table gives an empty resul
 
 from __future__ import annotations
 
-import base64
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,16 +35,83 @@ from tallyline.llm.common import id_text, stored
 from tallyline.llm.token_counts import WORDS, byte_letters
 
 MARK = "▁"
-SLICE = 256
-CACHED_WINDOWS = 150_000
-LONGEST_CACHED = 64  # ids of A
+SLICE = 128
+CACHED_WINDOWS = 60_000
 SENT_LINKS = 2_000_000
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a:int,b:int,n:int>>"
-LINK = np.dtype([("a", "<u4"), ("b", "<u4")])
+WEIGHTS = np.random.default_rng(13).integers(1, 1 << 63, 1024, np.uint64) | np.uint64(1)
+LOW = np.uint64(0xFFFFFFFF)
+
+
+class Side:
+    """One tokenizer's tokens: their bytes, sizes, whether they begin with a space, and their ids as text."""
+
+    def __init__(self, raw: list[bytes], ends: tuple[str, ...]) -> None:
+        self.raw = raw
+        self.size = np.array(list(map(len, raw)), np.int64)
+        self.space = np.array([r[:1] == b" " for r in raw], bool)
+        self.text = np.array([[f"{i}{e}" for e in ends] for i in range(len(raw))], object)
+
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
+
+class Memo:
+    """Aligned windows by their id tuples: groups and links of each, and its groups as text."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.text: list[str] = []
+        self.n_groups = np.zeros(0, np.int64)
+        self.first = np.zeros(1, np.int64)  # where the links of each window begin, and the end
+        self.links = np.zeros(0, np.uint64)
+
+    def add(self, keys: list[tuple[bytes, bytes]], text: list[str], n_groups: np.ndarray, n_links: np.ndarray, links: np.ndarray) -> None:
+        self.number.update(zip(keys, range(len(self.text), len(self.text) + len(keys))))
+        self.text += text
+        self.n_groups = np.concatenate((self.n_groups, n_groups))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(n_links)))
+        self.links = np.concatenate((self.links, links))
+
+
+class Spans:
+    """Runs of tokens in one long array: where each begins, and how many tokens it has."""
+
+    def __init__(self, ids: np.ndarray, start: np.ndarray) -> None:
+        self.ids, self.start = ids, start
+        self.n = np.diff(np.append(start, len(ids)))
+
+    def inside(self) -> np.ndarray:
+        """The place of every token in its run."""
+        return np.arange(len(self.ids)) - np.repeat(self.start, self.n)
+
+    def like(self, other: np.ndarray) -> np.ndarray:
+        """Whether each run holds the same tokens as the run ``other`` names for it."""
+        if not len(self.start):
+            return np.ones(0, bool)
+        same = self.n == self.n[other]
+        at = np.repeat(self.start[other], self.n) + self.inside()
+        equal = self.ids[np.minimum(at, len(self.ids) - 1)] == self.ids
+        return same & np.logical_and.reduceat(equal, self.start)
+
+    def hashes(self) -> np.ndarray:
+        return np.add.reduceat((self.ids.astype(np.uint64) + np.uint64(1)) * WEIGHTS[self.inside() % len(WEIGHTS)], self.start)
+
+    def keys(self, which: np.ndarray) -> list[bytes]:
+        raw = self.ids.tobytes()
+        begin = (4 * self.start[which]).tolist()
+        end = (4 * (self.start[which] + self.n[which])).tolist()
+        return [raw[x:y] for x, y in zip(begin, end)]
+
+    def taken(self, which: np.ndarray) -> "Spans":
+        n = self.n[which]
+        start = np.cumsum(n) - n
+        at = np.repeat(self.start[which] - start, n) + np.arange(int(n.sum()))
+        return Spans(self.ids[at], start)
 
 
 class TwoVocabularies:
-    """Both tokenizers, the bytes of their tokens, and the windows aligned so far."""
+    """Both tokenizers and the windows aligned so far."""
 
     def __init__(self, byte_vocabulary: str, piece_model: str) -> None:
         with open(byte_vocabulary, encoding="utf-8") as file:
@@ -56,84 +122,103 @@ class TwoVocabularies:
         # The ranks of a byte-level vocabulary are its ids, so the faster library gives the same ids.
         self._bytes = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         self._pieces = sentencepiece.SentencePieceProcessor(model_file=piece_model)
-        self.raw_a: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        raw_a = [b""] * (max(ranks.values()) + 1)
         for raw, i in ranks.items():
-            self.raw_a[i] = raw
-        self.raw_b = [self._piece(i) for i in range(self._pieces.get_piece_size())]
-        self.size_a, self.size_b = (np.array(list(map(len, raw)), np.int64) for raw in (self.raw_a, self.raw_b))
-        self.space_a, self.space_b = (np.array([r[:1] == b" " for r in raw], bool) for raw in (self.raw_a, self.raw_b))
-        self._new: dict[tuple[bytes, bytes], tuple] = {}
-        self._old: dict[tuple[bytes, bytes], tuple] = {}
+            raw_a[i] = raw
+        self.a = Side(raw_a, (",", "|"))
+        self.b = Side([self._piece(i) for i in range(self._pieces.get_piece_size())], (",", ";", "\n"))
+        self.memo = Memo()
 
     def _piece(self, i: int) -> bytes:
         if self._pieces.is_byte(i):
             return bytes([int(self._pieces.id_to_piece(i)[3:5], 16)])
         return self._pieces.id_to_piece(i).replace(MARK, " ").encode()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of each text; none where the bytes of the tokens are not those of the text."""
+        out = []
         for text, b in zip(texts, self._pieces.encode(texts, num_threads=1)):
-            yield self._bytes.encode_ordinary(" " + text), b
-
-    def align(self, text: str, a: list[int], b: list[int]) -> list[tuple]:
-        """The aligned windows of a text in order; none if the bytes of its tokens are not its own."""
-        whole = b" " + text.encode()
-        if b"".join(map(self.raw_a.__getitem__, a)) != whole or b"".join(map(self.raw_b.__getitem__, b)) != whole:
-            return []
-        ids_a, ids_b = np.array(a, "<u4"), np.array(b, "<u4")
-        cut_a, cut_b = anchors(self.size_a[ids_a], self.space_a[ids_a], self.size_b[ids_b], self.space_b[ids_b])
-        raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
-        known, out = self._new.get, []
-        from_a = from_b = 0
-        for to_a, to_b in zip(cut_a, cut_b):
-            key = (raw_a[from_a:to_a], raw_b[from_b:to_b])
-            found = known(key)
-            if found is None:
-                found = self._miss(key)
-                known = self._new.get
-            out.append(found)
-            from_a, from_b = to_a, to_b
+            a, whole = self._bytes.encode_ordinary(" " + text), b" " + text.encode()
+            out.append((a, b) if text and self.a.joined(a) == whole and self.b.joined(b) == whole else ([], []))
+        return out
+
+    def align(self, encoded: list[tuple[list[int], list[int]]]) -> list[tuple[int, int, str, np.ndarray]]:
+        """(groups, links, groups as text, links as 32-bit id pairs) of each encoded text."""
+        out = [(0, 0, "", self.memo.links[:0])] * len(encoded)
+        texts = [n for n, (a, _) in enumerate(encoded) if a]
+        if not texts:
+            return out
+        if len(self.memo.text) > CACHED_WINDOWS:
+            self.memo = Memo()
+        a, b = (Spans(np.concatenate([np.array(encoded[n][side], "<u4") for n in texts]), _starts([len(encoded[n][side]) for n in texts])) for side in (0, 1))
+        from_a, from_b = anchors(self.a, a, self.b, b)
+        first = np.searchsorted(from_a, a.start)  # the first window of each text
+        numbers = self._numbers(Spans(a.ids, from_a), Spans(b.ids, from_b))
+        memo = self.memo
+        n_groups = np.add.reduceat(memo.n_groups[numbers], first)
+        begin, n = memo.first[numbers], memo.first[numbers + 1] - memo.first[numbers]
+        n_links = np.add.reduceat(n, first)
+        links = memo.links[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        parts = list(map(memo.text.__getitem__, numbers.tolist()))
+        ends, at = [*first[1:].tolist(), len(parts)], 0
+        for text, x, y, groups, many in zip(texts, first.tolist(), ends, n_groups.tolist(), n_links.tolist()):
+            out[text] = (groups, many, ";".join(parts[x:y]), links[at : at + many])
+            at += many
         return out
 
-    def _miss(self, key: tuple[bytes, bytes]) -> tuple:
-        found = self._old.get(key)
-        if found is None:
-            found = self.window(*(np.frombuffer(k, "<u4").tolist() for k in key))
-        if len(key[0]) <= 4 * LONGEST_CACHED:
-            if len(self._new) >= CACHED_WINDOWS:
-                self._old, self._new = self._new, {}
-            self._new[key] = found
-        return found
-
-    def window(self, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, bytes]:
-        """(ids of A, ids of B, groups, links, groups as text, links as pairs of 32-bit ids)."""
-        i = j = 0
-        end_a, end_b = len(self.raw_a[a[0]]), len(self.raw_b[b[0]])
-        first_a = first_b = 0
-        groups, links = [], []
-        while True:
-            links += (a[i], b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                first_a, first_b = i, j
-                end_a, end_b = end_a + len(self.raw_a[a[i]]), end_b + len(self.raw_b[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(self.raw_a[a[i]])
-            else:
-                j += 1
-                end_b += len(self.raw_b[b[j]])
-        return len(a), len(b), len(groups), len(links) // 2, ";".join(groups), np.array(links, "<u4").tobytes()
-
-
-def anchors(size_a: np.ndarray, space_a: np.ndarray, size_b: np.ndarray, space_b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Byte positions in the two id buffers (4 bytes an id) where windows end, the last included."""
-    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-    before_a, before_b = np.flatnonzero(space_a[1:]), np.flatnonzero(space_b[1:])
-    _, at_a, at_b = np.intersect1d(end_a[before_a], end_b[before_b], assume_unique=True, return_indices=True)
-    return [*(4 * (before_a[at_a] + 1)).tolist(), 4 * len(size_a)], [*(4 * (before_b[at_b] + 1)).tolist(), 4 * len(size_b)]
+    def _numbers(self, a: Spans, b: Spans) -> np.ndarray:
+        """The memo's number of every window. Equal windows are brought together by a hash, their
+        ids are compared, and one of each goes to the memo by its id tuples."""
+        hashes = a.hashes() * WEIGHTS[0] + b.hashes() * WEIGHTS[1] + a.n.astype(np.uint64) * WEIGHTS[2]
+        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not (a.like(one[which]) & b.like(one[which])).all():
+            one = which = np.arange(len(a.start))  # a clash of hashes: every window on its own
+        keys = list(zip(a.keys(one), b.keys(one)))
+        known = self.memo.number
+        missing = {key: n for n, key in enumerate(keys) if key not in known}
+        if missing:
+            asked = one[np.fromiter(missing.values(), np.int64, len(missing))]
+            self.memo.add(list(missing), *self._aligned(a.taken(asked), b.taken(asked)))
+        return np.array([known[key] for key in keys], np.int64)[which]
+
+    def _aligned(self, a: Spans, b: Spans) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(groups as text, number of groups, number of links, links) of windows in a row."""
+        end_a, end_b = np.cumsum(self.a.size[a.ids]), np.cumsum(self.b.size[b.ids])
+        # Between neighbouring ends of either side there is one token of each: a link.
+        cuts = np.union1d(end_a, end_b)
+        links = a.ids[np.searchsorted(end_a, cuts)].astype(np.uint64) << np.uint64(32) | b.ids[np.searchsorted(end_b, cuts)]
+        shared = np.intersect1d(end_a, end_b, assume_unique=True)
+        stops = end_a[a.start + a.n - 1]
+        n_groups = np.diff(np.searchsorted(shared, stops, "right"), prepend=0)
+        n_links = np.diff(np.searchsorted(cuts, stops, "right"), prepend=0)
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        # Tokens in the order of the text: those of A in a group, then those of B.
+        in_a, in_b = np.bincount(group_a, minlength=len(shared)), np.bincount(group_b, minlength=len(shared))
+        out = np.empty(len(a.ids) + len(b.ids), object)
+        out[np.arange(len(a.ids)) + (np.cumsum(in_b) - in_b)[group_a]] = self.a.text[a.ids, (shared[group_a] == end_a).astype(int)]
+        closing = (shared[group_b] == end_b).astype(int)
+        closing[b.start + b.n - 1] = 2
+        out[np.arange(len(b.ids)) + np.cumsum(in_a)[group_b]] = self.b.text[b.ids, closing]
+        return "".join(out.tolist()).split("\n")[:-1], n_groups, n_links, links
+
+
+def _starts(sizes: list[int]) -> np.ndarray:
+    return np.cumsum([0, *sizes[:-1]])
+
+
+def anchors(side_a: Side, a: Spans, side_b: Side, b: Spans) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows begin in the tokens of A and of B: at every text, and where both sides end and
+    both next tokens begin with a space."""
+    before = []
+    for side, texts in ((side_a, a), (side_b, b)):
+        marked = side.space[texts.ids]
+        marked[texts.start] = True
+        at = np.flatnonzero(marked)
+        size = side.size[texts.ids]
+        before.append((at, (np.cumsum(size) - size)[at]))
+    (at_a, offset_a), (at_b, offset_b) = before
+    _, x, y = np.intersect1d(offset_a, offset_b, assume_unique=True, return_indices=True)
+    return at_a[x], at_b[y]
 
 
 @lru_cache(maxsize=1)
@@ -154,15 +239,10 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, id_col: str =
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                counts, groups, links = [], [], []
-                for text, (a, b) in zip(texts, both.encode(texts)):
-                    windows = both.align(text, a, b) if text else []
-                    n_a, n_b, n_groups, n_links, parts, pairs = zip(*windows) if windows else ((), (), (), (), (), ())
-                    counts.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_links)))
-                    groups.append(";".join(parts))
-                    pairs = np.frombuffer(b"".join(pairs), LINK)
-                    links.append(np.unique(pairs["a"].astype(np.uint64) << 32 | pairs["b"], return_counts=True))
-                yield _batch(part.column(0), counts, groups, links)
+                encoded = both.encode(texts)
+                aligned = both.align(encoded)
+                counts = [(len(a), len(b), *found[:2]) for (a, b), found in zip(encoded, aligned)]
+                yield _batch(part.column(0), counts, [found[2] for found in aligned], [np.unique(found[3], return_counts=True) for found in aligned])
 
     return id_text(docs, id_col, text_col).mapInArrow(each, SCHEMA)
 
@@ -171,7 +251,7 @@ def _batch(ids: pa.Array, counts: list[tuple], groups: list[str], links: list[tu
     offsets = pa.array(np.cumsum([0, *(len(k) for k, _ in links)]).astype(np.int32))
     keys = np.concatenate([k for k, _ in links]) if links else np.array([], np.uint64)
     times = np.concatenate([n for _, n in links]) if links else np.array([], np.int64)
-    pairs = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in (keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), times)], ["a", "b", "n"])
+    pairs = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in (keys >> np.uint64(32), keys & LOW, times)], ["a", "b", "n"])
     numbers = [pa.array(c, pa.int64()) for c in (zip(*counts) if counts else [()] * 4)]
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"]
     return pa.RecordBatch.from_arrays([ids, *numbers, pa.array(groups, pa.string()), pa.ListArray.from_arrays(offsets, pairs)], names)

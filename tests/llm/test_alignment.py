@@ -36,13 +36,25 @@ def plain(text):
             out.append((at, at + len(r)))
             at += len(r)
         spans.append(out)
-    links = [(a[i], b[j]) for i, (s, e) in enumerate(spans[0]) for j, (t, f) in enumerate(spans[1]) if max(s, t) < min(e, f)]
+    links, low = [], 0
+    for i, (s, e) in enumerate(spans[0]):
+        while spans[1][low][1] <= s:
+            low += 1
+        for j in range(low, len(b)):
+            if spans[1][j][0] >= e:
+                break
+            links.append((a[i], b[j]))
     shared = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-    groups, low = [], 0
+    at = [0, 0]
+    groups = []
     for high in shared:
-        part = [",".join(str(x) for x, (_, e) in zip(ids, span) if low < e <= high) for ids, span in zip((a, b), spans)]
+        part = []
+        for side, (ids, span) in enumerate(zip((a, b), spans)):
+            start = at[side]
+            while at[side] < len(ids) and span[at[side]][1] <= high:
+                at[side] += 1
+            part.append(",".join(map(str, ids[start : at[side]])))
         groups.append("|".join(part))
-        low = high
     return a, b, ";".join(groups), links
 
 
@@ -53,11 +65,13 @@ TEXTS = st.text(max_size=30) | st.text("ab cAB \n\t'.,1é日▁<0x41></s>", max_
 @given(TEXTS)
 def test_windows_in_a_row_are_the_alignment(text):
     both = alignment._load(BYTES, PIECES)
-    (a, b), = both.encode([text])
-    windows = both.align(text, a, b) if text else []
+    encoded = both.encode([text, "between", text])
+    found = both.align(encoded)
     want_a, want_b, groups, links = plain(text)
-    assert ";".join(w[4] for w in windows) == groups
-    assert (sum(w[0] for w in windows), sum(w[1] for w in windows), sum(w[3] for w in windows)) == (len(want_a), len(want_b), len(links))
+    for n in (0, 2):
+        assert encoded[n] == (want_a, want_b)
+        assert found[n][:3] == (groups.count(";") + 1 if groups else 0, len(links), groups)
+        assert sorted((int(x) >> 32, int(x) & 0xFFFFFFFF) for x in found[n][3]) == sorted(links)
 
 
 def want(texts):
@@ -102,10 +116,16 @@ def test_many_links_are_joined_by_a_shuffle(spark, monkeypatch):
 def test_windows_beyond_the_cache_are_aligned_again(monkeypatch):
     monkeypatch.setattr(alignment, "CACHED_WINDOWS", 3)
     both = alignment.TwoVocabularies(BYTES, PIECES)
-    for text in texts(5):
-        (a, b), = both.encode([text or ""])
-        assert ";".join(w[4] for w in (both.align(text, a, b) if text else [])) == plain(text)[2]
-        assert len(both._new) <= 3
+    lines = [t or "" for t in texts(5)]
+    for text in lines + lines:
+        assert both.align(both.encode([text]))[0][2] == plain(text)[2]
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(alignment, "WEIGHTS", alignment.WEIGHTS * alignment.np.uint64(0))
+    both = alignment.TwoVocabularies(BYTES, PIECES)
+    lines = [t or "" for t in texts(7)]
+    assert [found[2] for found in both.align(both.encode(lines))] == [plain(t)[2] for t in lines]
 
 
 def test_repeated_rows_null_ids_and_nothing(spark):
