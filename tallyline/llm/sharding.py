@@ -1,13 +1,15 @@
 """Shards of near-equal bytes by best-fit-decreasing packing of indivisible groups.
 
 Equal texts form a group and stay together. Packing works on a list of bounded length: a group
-of at least 1/4096 of a shard's even share is an item of its own (there are at most 4096 per
-shard), the smaller ones are gathered by hash into 4096 parcels per 16 shards. The items, largest
-first, each enter the bin with the least remaining capacity that still holds them, found in a
-balanced tree; the capacity is the smallest for which all items fit the given number of shards.
+of at least 1/256 of a shard's even share is an item of its own (there are at most 256 per
+shard), the smaller ones are gathered by hash into 4096 parcels per 16 shards before packing. The
+items, largest first, each enter the bin with the least remaining capacity that still holds them,
+found in a balanced tree; the capacity is the smallest for which all items fit the given number of
+shards.
 
-A group larger than an even share fits no bin of that capacity. It alone is cut, by document
-id, into as few parts as fit; every other group stays whole.
+A group larger than an even share fits no bin of that capacity. It alone is cut, by the number of
+its rows, into as few parts of equal rows as fit; every other group stays whole. Numbers are counted
+within blocks of rows and carried over the blocks, so they have no gaps whatever the ids are.
 
 Scale: the texts are hashed in place; one narrow aggregation (digest, size; combined before the
 shuffle) and one numbering pass over (shard, bucket) of narrow rows are shuffled. Only the
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyline.llm.common import id_text, stored
 
 PARCELS = 4096
-ROWS_PER_BUCKET = 200_000
+BLOCK_BITS = 17  # rows are numbered in blocks of at most 2 to this power
 MAX_SHARDS = 4096
 
 
@@ -129,9 +131,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"),
     )
-    rows = stored(rows, "shard-rows")
-    groups = stored(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
-    total, n_rows = (int(x or 0) for x in rows.agg(F.sum("size"), F.count("*")).first())
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
+    rows = rows.withColumn("block", F.shiftright("row", BLOCK_BITS))
+    groups = stored(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
+    total = int(groups.agg(F.sum("bytes")).first()[0] or 0)
     share = max(1, -(-total // shards))
     parcels = PARCELS * max(1, -(-shards // 16))
     least = max(1, share * 16 // parcels)
@@ -139,13 +142,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
     # Groups of at least `least` bytes: no more than shards * parcels / 16. Parcels: no more than `parcels`.
     big = groups.where(F.col("bytes") >= least)
-    items = [(r.digest, r.bytes, -(-r.bytes // share)) for r in big.collect()]
+    items = [(r.digest, r.bytes, r.n, min(r.n, -(-r.bytes // share))) for r in big.collect()]
     small = [(r.parcel, r.bytes) for r in groups.where(F.col("bytes") < least).groupBy(parcel.alias("parcel")).agg(F.sum("bytes").alias("bytes")).collect()]
     keys: list[tuple[str, int]] = []
     sizes: list[int] = []
-    for digest, size, parts in sorted(items):
+    for digest, size, n, parts in sorted(items):
         keys += [(digest, part) for part in range(parts)]
-        sizes += [size // parts + (part < size % parts) for part in range(parts)]
+        # Rows of a group have one size; part p gets the rows whose number * parts // n is p.
+        sizes += [size // n * (-(-(part + 1) * n // parts) - -(-part * n // parts)) for part in range(parts)]
     for number, size in sorted(small):
         keys.append((f"#{number}", 0))
         sizes.append(size)
@@ -154,27 +158,26 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     for (key, _), bin_id in zip(keys, placed):
         plan.setdefault(key, []).append(bin_id)
     spark = docs.sparkSession
-    big_plan = spark.createDataFrame([(k, v) for k, v in plan.items() if k[:1] != "#"], "digest string, big_bins array<int>")
+    counts = {digest: n for digest, _, n, _ in items}
+    big_plan = spark.createDataFrame([(k, v, counts[k]) for k, v in plan.items() if k[:1] != "#"], "digest string, big_bins array<int>, n long")
     small_plan = spark.createDataFrame([(int(k[1:]), v[0]) for k, v in plan.items() if k[:1] == "#"], "parcel int, bin int")
 
-    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "size"), F.size("big_bins")).cast("int")
-    dealt = (
-        rows.join(F.broadcast(big_plan), "digest", "left")
-        .withColumn("parcel", parcel)
-        .join(F.broadcast(small_plan), "parcel", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce(F.element_at("big_bins", part + 1), "bin").alias("shard"))
-    )
-    return _slots(dealt, n_rows)
-
-
-def _slots(dealt: DataFrame, n_rows: int) -> DataFrame:
-    """Number the rows of each shard from 0: within hash buckets of bounded size, and on from
-    the counts of the buckets before."""
-    buckets = max(16, -(-n_rows // ROWS_PER_BUCKET))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
-    numbered = dealt.withColumn("within", F.row_number().over(inside) - 1)
-    return numbered.join(starts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("start") + F.col("within")).cast("long").alias("slot"))
+    planned = rows.join(F.broadcast(big_plan), "digest", "left").withColumn("parcel", parcel).join(F.broadcast(small_plan), "parcel", "left")
+    shown = ["row", "block", "doc_id", "size", "text_crc32"]
+    whole = planned.where("big_bins IS NULL OR size(big_bins) = 1").select(*shown, F.coalesce(F.element_at("big_bins", 1), "bin").alias("shard"))
+    cut = numbered(planned.where("size(big_bins) > 1"), "digest", "number")
+    part = F.expr("CAST(number * size(big_bins) div n AS INT)")
+    cut = cut.select(*shown, F.element_at("big_bins", part + 1).alias("shard"))
+    dealt = stored(whole.unionByName(cut), "shard-dealt")
+    return numbered(dealt, "shard", "slot").select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` (row, block, ...) with a number from 0 without gaps within each ``key``: counted in
+    blocks of bounded size, and on from the blocks before."""
+    counts = rows.groupBy(key, "block").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    starts = counts.select(key, "block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(key, "block").orderBy("row")
+    within = rows.withColumn("__within", F.row_number().over(inside) - 1)
+    return within.join(starts, [key, "block"]).withColumn(name, F.col("__start") + F.col("__within")).drop("__start", "__within")

@@ -138,6 +138,20 @@ def test_shards_are_even_and_groups_whole(spark):
     assert sharding.shard_by_bytes(documents(spark, [])).count() == 0
 
 
+def test_rows_without_ids_are_dealt_as_evenly(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_BITS", 5)
+    for id_of in ("NULL", "7L", "doc_id"):
+        table = documents(spark, ["same text!"] * 600 + [f"t{i:08}" for i in range(400)]).selectExpr(f"{id_of} AS doc_id", "text").repartition(3)
+        rows = sharding.shard_by_bytes(table, 10).collect()
+        loads, slots = Counter(), {}
+        for r in rows:
+            loads[r.shard] += r.size
+            slots.setdefault(r.shard, []).append(r.slot)
+        share = sum(loads.values()) / 10
+        assert len(rows) == 1000 and len(loads) == 10 and max(loads.values()) <= share + 11 and min(loads.values()) >= 0.95 * share
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_a_group_larger_than_a_shard_is_cut(spark):
     rows = sharding.shard_by_bytes(documents(spark, ["same"] * 60 + list("abcdefgh")), 4).collect()
     loads = Counter()
