@@ -24,6 +24,9 @@ or be NULL. Columns other than id and text are not read. An empty table gives an
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,14 +35,22 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from tallyline.llm.common import id_text, stored
+from tallyline.llm.token_counts import byte_letters
 
 WHOLE = 32  # pieces of at most capacity / WHOLE ids are not cut
 CACHED_CHUNKS = 300_000
+# Letters that are composed and have one lower case each, digits, and punctuation without angle
+# brackets (special tokens have some).
+PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-;=?-@\[-`{-~]+")
+PLAIN_TEXT = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-;=?-@\[-`{-~' \t\n\r]*")
+# Fixed value: the word pattern of the vocabulary's pre-tokenizer, for such parts.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:;=?@\[-`{-~]+")
 LONGEST_CACHED = 64
 SLICE = 256
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, kind int, worker long, number long, sequence_id long, offset long"
@@ -61,7 +72,8 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
 
 class WordBpe:
     """Ids of whole texts. No token crosses a space or a line feed, so the parts between them are
-    encoded by the library once and then looked up."""
+    encoded once and then looked up. A part made of plain letters, digits and punctuation is cut
+    further, as the vocabulary's own pattern does; the library encodes what is left."""
 
     def __init__(self, path: str) -> None:
         self._library = Tokenizer.from_file(path)
@@ -69,11 +81,28 @@ class WordBpe:
         self._library.no_truncation()
         self._new: dict[str, bytes] = {"": b""}
         self._old: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._merging, self._ids = _merging(path)
+
+    def _library_ids(self, part: str) -> bytes:
+        return array("I", self._library.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        found = self._words.get(word)
+        if found is None:
+            if len(self._words) >= CACHED_CHUNKS:
+                self._words.clear()
+            ids = self._ids
+            found = self._words[word] = array("I", [ids[i] for i in self._merging.encode_ordinary(word + "\0")]).tobytes()
+        return found
 
     def _miss(self, chunk: str) -> bytes:
         found = self._old.get(chunk)
         if found is None:
-            found = np.asarray(self._library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(chunk) <= LONGEST_CACHED and PLAIN.fullmatch(chunk):
+                found = b"".join(map(self._word, WORDS.findall(chunk.lower())))
+            else:
+                found = self._library_ids(chunk)
         if len(chunk) <= LONGEST_CACHED:
             if len(self._new) >= CACHED_CHUNKS:
                 self._old, self._new = self._new, {"": b""}
@@ -82,8 +111,14 @@ class WordBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids, 32 bits each, little-endian."""
-        known, miss = self._new.get, self._miss
         out = []
+        if PLAIN_TEXT.fullmatch(text):
+            known = self._words.get
+            for word in WORDS.findall(text.lower()):
+                found = known(word)
+                out.append(self._word(word) if found is None else found)
+            return b"".join(out)
+        known, miss = self._new.get, self._miss
         for chunk in text.replace("\n", " ").split(" "):
             found = known(chunk)
             if found is None:
@@ -93,6 +128,27 @@ class WordBpe:
         return b"".join(out)
 
 
+def _merging(path: str) -> tuple[tiktoken.Encoding, list[int]]:
+    """The vocabulary's merges for one lower-case word, and the vocabulary's id of each of their ranks.
+
+    A word's end is written as a zero byte, which joins the byte before it ahead of all merges.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    letters, end = byte_letters(), model["end_of_word_suffix"]
+    parts = lambda s: (s.removesuffix(end), end if s.endswith(end) else "")
+    raw = lambda s: bytes(letters[c] for c in parts(s)[0]) + b"\0" * bool(parts(s)[1])
+    written = {b: c for c, b in letters.items()}
+    pieces = [written[b] for b in range(256)] + [written[b] + end for b in range(256)]
+    for merge in model["merges"]:
+        a, b = merge.split(" ") if isinstance(merge, str) else merge
+        pieces.append(a + b)
+    ranks = {raw(piece): rank for rank, piece in enumerate(pieces)}
+    if len(ranks) != len(pieces):
+        raise ValueError("a piece is made by two merges")
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), [model["vocab"][piece] for piece in pieces]
+
+
 @lru_cache(maxsize=2)
 def _load(path: str) -> WordBpe:
     return WordBpe(path)
