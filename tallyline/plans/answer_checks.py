@@ -14,7 +14,7 @@ from tallyline.plans.filter_checks import CHILD_SQL, DAY0, LATEST_SQL
 from tallyline.plans.oracle import with_tables
 from tallyline.plans.pricing_checks import money_sql
 from tallyline.plans.registry import register
-from tallyline.sources.tables import UsageTables
+from tallyline.sources.tables import StoredTables, UsageTables
 
 IN_F = IN_SPAN.replace("occurred_at_ms", "f.occurred_at_ms")
 COSTS = "concat_ws(';', transform(currencies, c -> concat(c.currency, ' ', c.estimated_cost))) AS costs"
@@ -31,7 +31,7 @@ REASONS_SQL = """coalesce((SELECT string_agg(c.reason||' '||c.t||' '||c.n, ';' O
 
 
 def model_of(spark, directory) -> answers.Model:
-    return answers.Model.of(UsageTables(spark, directory), rates.rules(spark), rates.aliases(spark), rates.REVISION)
+    return answers.Model.of(StoredTables(spark, directory), rates.rules(spark), rates.aliases(spark), rates.REVISION)
 
 
 HEADER_SQL = f"""SELECT CAST(sum(total_tokens) AS VARCHAR) AS total_tokens, count(*) AS usage_event_count, count(DISTINCT session_key) AS session_count,
@@ -192,7 +192,7 @@ EVIDENCE_SQL = f"""(SELECT *, {store_checks.TIER} AS tier, k%8<>7 AS full_reques
 
 
 def priced_by_catalogs(spark, directory) -> answers.Model:
-    tables = UsageTables(spark, directory)
+    tables = StoredTables(spark, directory)
     documents = rates.catalogs(spark)
     table = catalog.published_rules(rates.rules(spark, rates.BESIDE_CATALOGS), documents, (1, 2))
     model = answers.Model.of(tables, table, rates.aliases(spark), rates.REVISION, documents)

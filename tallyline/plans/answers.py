@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyline.operators import calendar, catalog, coverage, facets, filters, groups, measures, pages, pricing, series, sessions
 from tallyline.operators.filters import Selection, UsageFilter
+from tallyline.session import cut_sizes
 
 
 @dataclass
@@ -131,6 +132,12 @@ def dashboard(model: Model, spec: UsageFilter, grain: str, heatmap: tuple[int, i
     }
 
 
+def _settled_page(found: DataFrame) -> DataFrame:
+    """The rows of a page (at most 201), written once: all further parts of an answer start from
+    them instead of finding the page again."""
+    return cut_sizes(found)
+
+
 def _page_pricing(answer: Answer, rows: DataFrame, key: str) -> DataFrame:
     """Pricing of the groups on a page: only their events are priced."""
     keys = F.broadcast(rows.select(key))  # a page: at most 201 rows
@@ -140,7 +147,7 @@ def _page_pricing(answer: Answer, rows: DataFrame, key: str) -> DataFrame:
 def recent_sessions(answer: Answer, limit: int = 10) -> DataFrame:
     """The ten sessions with the newest events. They are found first; only they are summed."""
     newest = answer.facts.groupBy("session_key").agg(F.expr("max(occurred_at_ms) AS latest_at_ms"))
-    found = newest.orderBy(F.desc("latest_at_ms"), F.asc("session_key")).limit(limit)
+    found = _settled_page(newest.orderBy(F.desc("latest_at_ms"), F.asc("session_key")).limit(limit))
     mine = answer.facts.join(F.broadcast(found.select("session_key")), "session_key", "left_semi")
     rows = sessions.session_totals(mine)
     m = answer.model
@@ -193,7 +200,7 @@ def facet(model: Model, spec: UsageFilter, dimension: str, search: str, size: in
 def sessions_page(model: Model, spec: UsageFilter, sort: str, size: int, position: tuple | None = None, specified_ms: int | None = None) -> dict[str, DataFrame]:
     answer = Answer(model, spec, specified_ms)
     order = {"latest_desc": "latest_at_ms", "total_desc": "total_tokens"}[sort]
-    found = pages.page(sessions.session_totals(answer.facts), order, "session_key", size, position)
+    found = _settled_page(pages.page(sessions.session_totals(answer.facts), order, "session_key", size, position))
     described = sessions.describe_sessions(found, answer.facts, model.sessions, model.aliases, model.projects)
     contexts = sessions.latest_context(
         model.contexts.join(F.broadcast(found.select("session_key")), "session_key", "left_semi")
@@ -239,7 +246,7 @@ def session_detail(model: Model, spec: UsageFilter, session_key: str, specified_
 
 def turns_page(model: Model, spec: UsageFilter, session_key: str, size: int, position: tuple | None = None, specified_ms: int | None = None) -> dict[str, DataFrame]:
     answer = Answer(model, _within_session(model, spec, session_key), specified_ms)
-    found = pages.page(sessions.turn_totals(answer.facts), "last_at_ms", "turn_id", size, position)
+    found = _settled_page(pages.page(sessions.turn_totals(answer.facts), "last_at_ms", "turn_id", size, position))
     return {
         "header": header(answer),
         "turns": found.join(_page_pricing(answer, found, "turn_id"), "turn_id"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyline.functions import text as X
 from tallyline.model import ACCOUNTING_V2, DAY_MS, HOUR_MS
+from tallyline.session import cut_sizes
 
 PARSER = "rollout-v1"
 
@@ -299,3 +300,43 @@ class UsageTables:
             F.col("occurred_at_ms").alias("seen_at_ms"),
             (F.col("user_id") % 3 == 0).alias("resolved"),
         )
+
+
+# Tables beside the events that answers look things up in. Each holds a row per session, file, source
+# or problem, not per event asked for.
+SIDE_TABLES = ("sessions", "projects", "ledgers", "generations", "files", "sources", "scan_state", "scan_files", "pending", "contexts", "diagnostics")
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+class StoredTables(UsageTables):
+    """The model with its side tables written once per application and state of the directory.
+
+    Derived in place, every look-up of a composite answer would read all events again. Written,
+    each is read as often as asked, with its size known; events alone are scanned, and those scans
+    carry the answer's range.
+    """
+
+    @cached_property
+    def _state(self) -> tuple:
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.directory}/events.parquet")
+        system = files.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = system.getFileStatus(files)
+        return self.spark.sparkContext.applicationId, self.directory, found.getModificationTime(), system.getContentSummary(files).getLength()
+
+
+def _written(name: str) -> cached_property:
+    derived = getattr(UsageTables, name).func
+
+    def read(self: StoredTables) -> DataFrame:
+        key = (*self._state, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = cut_sizes(derived(self))
+        return _WRITTEN[key]
+
+    found = cached_property(read)
+    found.__set_name__(StoredTables, name)
+    return found
+
+
+for _name in SIDE_TABLES:
+    setattr(StoredTables, _name, _written(_name))
