@@ -454,3 +454,45 @@ def proof_candidates(sessions: DataFrame, pending: DataFrame, attempts: DataFram
     )
     joined = sessions.where("active_ledger_id IS NOT NULL").join(evidence, "session_key").join(attempts, "session_key", "left")
     return joined.where(f"tries IS NULL OR last_evidence <> evidence OR tries < {limit}").select("session_key", "unproven", "evidence")
+
+
+EVIDENCE_OF_PENDING = ["session_key", "file_generation_id", "byte_offset", "observed_at_ms", "reason_code", "vector_json"]
+
+
+def proof_jobs(
+    sessions: DataFrame, aliases: DataFrame, ledgers: DataFrame, pending: DataFrame, attempts: DataFrame, parser: str, accounting: str, limit: int = 3
+) -> DataFrame:
+    """(session_key, why, unproven, job_hash, tries): sessions to be judged again.
+
+    A published session that is no alias is due while it holds unproven records or was judged by
+    other versions than ``parser`` and ``accounting``. What a job would look at is hashed, contents
+    and target versions: a job that was done is not repeated before something of it changes, one
+    that failed is repeated up to ``limit`` times. ``attempts``: session_key, job_hash, tries, done.
+    """
+    from tallyline.operators.rollup import content_digest
+
+    unproven = pending.where("kind = 'pending'")
+    evidence = content_digest(unproven.select(*EVIDENCE_OF_PENDING), ["session_key"])
+    counts = unproven.groupBy("session_key").agg(F.count("*").alias("unproven"))
+    live = sessions.where("active_ledger_id IS NOT NULL").join(aliases.selectExpr("alias_session_key AS session_key"), "session_key", "left_anti")
+    versions = ledgers.selectExpr("ledger_id AS active_ledger_id", f"NOT (parser_version <=> '{parser}' AND accounting_version <=> '{accounting}') AS outdated")
+    due = (
+        live.select("session_key", "active_ledger_id").join(versions, "active_ledger_id")
+        .join(counts, "session_key", "left").join(evidence, "session_key", "left")
+        .where("outdated OR unproven > 0")
+        .withColumn("job_hash", F.sha2(F.concat_ws("|", F.coalesce("digest", F.lit("none")), F.lit(parser), F.lit(accounting)), 256))
+    )
+    tried = attempts.selectExpr("session_key", "job_hash AS last_hash", "tries AS last_tries", "done AS last_done")
+    judged = due.join(tried, "session_key", "left").where(
+        f"last_hash IS NULL OR last_hash <> job_hash OR (NOT last_done AND last_tries < {limit})"
+    )
+    return judged.selectExpr(
+        "session_key", "CASE WHEN outdated THEN 'upgrade' ELSE 'unproven' END AS why", "coalesce(unproven, 0L) AS unproven", "job_hash",
+        "CASE WHEN last_hash = job_hash THEN last_tries ELSE 0 END AS tries",
+    )
+
+
+def record_attempts(attempts: DataFrame, jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The retry ledger after ``jobs`` that ended (outcomes: session_key, done); one row a session."""
+    ended = jobs.join(outcomes, "session_key").selectExpr("session_key", "job_hash", "tries + 1 AS tries", "done")
+    return attempts.join(ended, "session_key", "left_anti").select("session_key", "job_hash", "tries", "done").unionByName(ended)

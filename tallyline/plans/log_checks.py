@@ -12,7 +12,7 @@ from tallyline.functions import vectors as V
 from tallyline.operators import accounting, lineage, normalize
 from tallyline.plans.oracle import cte, with_tables
 from tallyline.plans.registry import register
-from tallyline.session import cut_lineage
+from tallyline.session import cut_lineage, cut_sizes
 from tallyline.sources import manifests, titles
 from tallyline.sources.tables import UsageTables
 
@@ -550,6 +550,36 @@ def proof_candidates(spark, directory):
     return lineage.proof_candidates(tables.sessions, tables.pending, tried).select("session_key", "unproven")
 
 
+@register(
+    "proof_jobs",
+    with_tables(
+        """SELECT session_key, CASE WHEN outdated THEN 'upgrade' ELSE 'unproven' END AS why, unproven FROM (
+          SELECT s.session_key, u, l.parser_version<>'rollout-v1' OR l.accounting_version<>'accounting-v2' AS outdated,
+            coalesce(p.before,0) AS before, coalesce(p.unproven,0) AS unproven
+          FROM (SELECT *, CAST(substring(session_key,2) AS BIGINT) AS u FROM sessions) s JOIN ledgers l ON l.ledger_id=s.active_ledger_id
+          LEFT JOIN (SELECT session_key, count(*) AS before, count_if(NOT (byte_offset//100%2=0 AND CAST(substring(session_key,2) AS BIGINT)%5=0)) AS unproven
+            FROM pending WHERE kind='pending' GROUP BY 1) p ON p.session_key=s.session_key)
+        WHERE u%10<>6 AND (outdated OR unproven>0) AND (NOT (outdated OR before>0) OR u%3=2 OR before<>unproven OR (u%3=0 AND u%9<>0))""",
+        "sessions",
+        "ledgers",
+        "pending",
+    ),
+)
+def proof_jobs(spark, directory):
+    """Jobs after a first round: a third of the sessions succeeded, a third failed (some of them three
+    times), a third was not reached; every fifth session has lost some unproven records since."""
+    tables = UsageTables(spark, directory)
+    user = "CAST(substring(session_key, 2) AS BIGINT)"
+    mirrors = tables.sessions.where(f"{user} % 10 = 6").selectExpr("session_key AS alias_session_key")
+    attempts = spark.createDataFrame([], "session_key string, job_hash string, tries int, done boolean")
+    asked = lambda pending: lineage.proof_jobs(tables.sessions, mirrors, tables.ledgers, pending, attempts, "rollout-v1", "accounting-v2")
+    for again in (f"{user} % 3 <> 2", f"{user} % 9 = 0", f"{user} % 9 = 0"):
+        jobs = asked(tables.pending).where(again)
+        attempts = cut_sizes(lineage.record_attempts(attempts, jobs, jobs.selectExpr("session_key", f"{user} % 3 = 1 AS done")))
+    left = tables.pending.where(f"NOT (byte_offset div 100 % 2 = 0 AND {user} % 5 = 0)")
+    return asked(left).select("session_key", "why", "unproven")
+
+
 # --- manifests and titles -----------------------------------------------------------------------------------
 
 

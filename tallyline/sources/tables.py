@@ -317,7 +317,8 @@ class StoredTables(UsageTables):
     """
 
     @cached_property
-    def _state(self) -> tuple:
+    def state(self) -> tuple:
+        """What the written tables belong to: they are not used for another application or other events."""
         files = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.directory}/events.parquet")
         system = files.getFileSystem(self.spark._jsc.hadoopConfiguration())
         found = system.getFileStatus(files)
@@ -328,7 +329,7 @@ def _written(name: str) -> cached_property:
     derived = getattr(UsageTables, name).func
 
     def read(self: StoredTables) -> DataFrame:
-        key = (*self._state, name)
+        key = (*self.state, name)
         if key not in _WRITTEN:
             _WRITTEN[key] = cut_sizes(derived(self))
         return _WRITTEN[key]
