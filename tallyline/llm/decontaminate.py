@@ -59,8 +59,9 @@ def _seeds(rows: DataFrame, span: int, masks: int) -> DataFrame:
 def _search(docs: DataFrame, items: DataFrame, span: int, masks: int, allowed: int) -> DataFrame:
     """Spans of ``docs`` (doc_id, h) that agree with spans of ``items`` (item_id, h) but for
     ``allowed`` words: (doc_id, item_id, at, matched)."""
-    theirs = _seeds(items, span, masks).select("seed", "mask", "item_id", F.expr(f"slice(h, at + 1, {span})").alias("words"))
-    # The same words at several places of an item are one span.
+    theirs = _seeds(items, span, masks).select("seed", "item_id", F.expr(f"slice(h, at + 1, {span})").alias("words"))
+    # The same words at several places of an item are one span. A seed hashes its mask too, and the
+    # words that the mask keeps are compared below, so one long is the whole key.
     theirs = theirs.distinct()
     mine = _seeds(docs, span, masks)
     if theirs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -70,7 +71,7 @@ def _search(docs: DataFrame, items: DataFrame, span: int, masks: int, allowed: i
         mine = mine.withColumn("h", F.col("own")).withColumn("here", F.lit(0))
     if "here" not in mine.columns:
         mine = mine.withColumn("here", F.col("at"))
-    met = mine.join(theirs, ["seed", "mask"])
+    met = mine.join(theirs, "seed")
     same = [F.expr(f"h[here + {k}] = words[{k}]") for k in range(span)]
     matched = reduce(lambda a, b: a + b, [s.cast("int") for s in same])
     agrees = [reduce(and_, same[m::masks]) for m in range(masks)]
