@@ -89,7 +89,7 @@ def evidence(text: str | None, toxic: str, ordinary: str) -> tuple[float, ...]:
         window = line[at : at + WINDOW]
         if len(with_ordinary(window)) - len(with_toxic(window)) >= SUSPECT:
             pieces = [window[i : i + PIECE] for i in range(0, max(1, len(window) - PIECE + PIECE_STEP), PIECE_STEP)]
-            found.append(max(len(with_ordinary(p)) - len(with_toxic(p)) for p in pieces))
+            found.append(max(0, *(len(with_ordinary(p)) - len(with_toxic(p)) for p in pieces)))
     first, second = sorted(found)[: -3 : -1]
     many = [float(np.log1p(sum(x >= least for x in found))) for least in EVIDENCE]
     return float(min(first, 12)), float(min(second, 12)), *many, float(np.log1p(sum(found))), sum(found) / len(windows), float(np.log1p(len(windows)))
