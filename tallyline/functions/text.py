@@ -80,6 +80,21 @@ def _whole(number: int) -> Column:
     return F.lit(number).cast("decimal(38,0)")
 
 
+SMALL = 10**14  # counts up to here keep every product below within a long
+
+
+def _small(value: Column, most: int = SMALL) -> tuple[Column, Column]:
+    """Whether a whole number is at least 0 and at most ``most``, and it as a long (else NULL).
+    Arithmetic on longs costs a small part of that on 38 digits."""
+    fits = value.between(F.lit(0), F.lit(most))
+    return fits, F.when(fits, value).cast("long")
+
+
+def _div(value: Column, unit: Column) -> Column:
+    """Whole part of a division of longs that are not negative."""
+    return F.call_function("div", value, unit)
+
+
 def whole_division(value: Column, unit: Column) -> Column:
     """value / unit cut to a whole number; 0 where the unit is 0."""
     safe = F.when(unit == 0, _whole(1)).otherwise(unit.cast("decimal(38,0)"))
@@ -119,7 +134,13 @@ def money_rounded(atoms: Column, places: int = 2) -> Column:
     unit = 10 ** (15 - places)
     whole, rest = _split(value, _whole(unit))
     up = F.when(rest >= F.lit(unit // 2), F.lit(1)).otherwise(F.lit(0))
-    return _point_text((whole + up).cast("decimal(38,0)"), places)
+    wide = _point_text((whole + up).cast("decimal(38,0)"), places)
+    fits, n = _small(atoms, 10**18)
+    rounded, part = _div(n + F.lit(unit // 2), F.lit(unit)), F.lit(10**places)
+    short = rounded.cast("string")
+    if places:
+        short = F.concat(_div(rounded, part).cast("string"), F.lit("."), F.lpad((rounded % part).cast("string"), places, "0"))
+    return F.when(fits, short).otherwise(wide)
 
 
 def compact_tokens(tokens: Column) -> Column:
@@ -132,7 +153,13 @@ def compact_tokens(tokens: Column) -> Column:
         tenths = (whole * 10 + tenths).cast("decimal(38,0)")
         text = F.concat(_point_text(tenths, 1), F.lit(mark))
         shown = shown.when(value >= F.lit(scale), text)
-    return shown.otherwise(value.cast("string"))
+    fits, n = _small(tokens)
+    short = F.when(n < 1000, n.cast("string"))
+    for scale, mark in ((10**9, "B"), (10**6, "M"), (10**3, "K")):
+        tenths = _div(n * 10 + F.lit(scale // 2), F.lit(scale))
+        text = F.concat(_div(tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(mark))
+        short = short.when(n >= scale, text)
+    return F.when(fits, short).otherwise(shown.otherwise(value.cast("string")))
 
 
 def percentage(numerator: Column, denominator: Column) -> Column:
@@ -143,7 +170,11 @@ def percentage(numerator: Column, denominator: Column) -> Column:
     half = _split(safe, _whole(2))[0]
     scaled = (F.when(usable, n).otherwise(F.lit(0)).cast("decimal(33,0)") * 10000).cast("decimal(38,0)")
     hundredths, _ = _split((scaled + half).cast("decimal(38,0)"), safe)
-    return F.when(usable, hundredths.cast("double") / F.lit(100.0))
+    wide = F.when(usable, hundredths.cast("double") / F.lit(100.0))
+    (n_fits, a), (d_fits, b) = _small(numerator), _small(denominator)
+    over = F.when(b > 0, b).otherwise(F.lit(1))
+    short = F.when((b > 0) & (a <= b), _div(a * 10_000 + _div(over, F.lit(2)), over).cast("double") / F.lit(100.0))
+    return F.when(n_fits & d_fits, short).otherwise(wide)
 
 
 def percent_text(value: Column) -> Column:

@@ -135,3 +135,19 @@ def test_titles_and_coverage_states(spark):
 def test_full_hours():
     h = 3_600_000
     assert rollup.full_hours(0, h) == (0, h) and rollup.full_hours(1, 2 * h - 1) == (h, h)
+
+
+def test_display_forms_agree_on_both_sides_of_the_long_range(spark):
+    edges = [0, 1, 49, 50, 949, 950, 999, 1000, 1049, 1050, 999_949, 999_950, 10**6, 10**9 - 1, 10**9, X.SMALL - 1, X.SMALL, X.SMALL + 1, 10**15]
+    money = [0, 4_999_999_999_999, 5_000_000_000_000, 10**15 - 1, 10**18 - 1, 10**18, 10**18 + 5 * 10**12]
+    rows = spark.createDataFrame([(n,) for n in edges + money], "n long")
+    wide = F.col("n").cast("decimal(38,0)")
+    got = rows.select("n", X.compact_tokens(F.col("n")).alias("c"), X.money_rounded(wide).alias("m"), X.percentage(F.col("n"), F.lit(X.SMALL + 7)).alias("w"), X.percentage(F.col("n"), F.lit(X.SMALL - 7)).alias("s")).collect()
+    for r in got:
+        scale, mark = next(((s, m) for s, m in ((10**9, "B"), (10**6, "M"), (10**3, "K")) if r.n >= s), (1, ""))
+        tenths = (r.n * 10 + scale // 2) // scale
+        assert r.c == (f"{tenths // 10}.{tenths % 10}{mark}" if mark else str(r.n))
+        cents = (r.n + 5 * 10**12) // 10**13
+        assert r.m == f"{cents // 100}.{cents % 100:02d}"
+        for shown, d in ((r.w, X.SMALL + 7), (r.s, X.SMALL - 7)):
+            assert shown == ((r.n * 10_000 + d // 2) // d / 100 if r.n <= d else None)
