@@ -62,11 +62,26 @@ def fingerprint(text: str | None, words: int) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):
         pairs = zip(starts[at : min(at + (1 << 14), n)].tolist(), last[at : at + (1 << 14)].tolist())
-        hashes = np.array([digest(line[a:b], 42) for a, b in pairs], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        ones += _ones(np.array([digest(line[a:b], 42) for a, b in pairs], np.uint64))
+    return _majority(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint_of_set(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes; zero for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += _ones(hashes[at : at + (1 << 14)])
+    return _majority(ones, len(hashes))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``."""
 
@@ -134,6 +149,37 @@ def link_components(points: DataFrame) -> DataFrame:
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def shared_cells(points: DataFrame) -> DataFrame:
+    """(cell, id, fp, lo, hi): ``points`` (id, fp), id distinct, in each cell that holds several of
+    them, with the least and greatest id there."""
+    dealt = _cells(points.select("id", "fp"))
+    held = dealt.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    return stored(dealt.join(held, "cell").select("cell", "id", "fp", "lo", "hi"), "simhash-cells")
+
+
+def _pairs(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def head_pairs(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids at most 4 bits apart: each id of a cell with the cell's two heads."""
+    heads = cells.where("id = lo OR id = hi").select("cell", F.col("id").alias("head"), F.col("fp").alias("head_fp"))
+    return cells.join(heads, "cell").where((F.col("id") != F.col("head")) & _near("fp", "head_fp")).select(*_pairs("id", "head")).distinct()
+
+
+def mixed_pairs(cells: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids at most 4 bits apart that share a cell but no component of ``named``
+    (vertex, component): those outside a cell's largest component with the whole cell."""
+    here = cells.join(named.withColumnRenamed("vertex", "id"), "id", "left").select("cell", "id", "fp", F.coalesce("component", "id").alias("component"))
+    mixed = here.groupBy("cell").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("cell")
+    here = stored(here.join(mixed, "cell"), "simhash-mixed")
+    sizes = here.groupBy("cell", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
+    others = here.join(largest, "cell").where("component <> largest").select("cell", F.col("id").alias("other_id"), F.col("fp").alias("other_fp"), F.col("component").alias("other"))
+    met = others.join(here, "cell").where((F.col("other") != F.col("component")) & _near("other_fp", "fp"))
+    return met.select(*_pairs("other_id", "id")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id, the
     smallest doc_id reachable by links of at most 4 differing bits, itself included."""

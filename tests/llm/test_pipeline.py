@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from tallyline.llm import near_copies, simhash
+from tallyline.llm.components import connected_components
 
 
 def test_stages(spark, tmp_path):
@@ -88,3 +90,36 @@ def test_labels_without_evidence_reject_nothing(spark, tmp_path):
         marks = spark.createDataFrame([(i, 1, toxic(i)) for i in range(40)], "doc_id long, quality int, toxic int")
         marks.write.parquet(f"{tmp_path}/{n}/labels.parquet")
         assert corpus_pipeline.toxic_out(spark, docs, f"{tmp_path}/{n}").count() == 40
+
+
+def test_near_copies_are_linked_by_fingerprints(spark, monkeypatch):
+    """The SimHash search alone links pairs within its bits that are alike, and those only."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(40):
+        words = [word() for _ in range(250)]
+        texts.append(" ".join(words))
+        for changes in (1, 3, 8):
+            copy = list(words)
+            for at in rng.sample(range(250), changes):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    sets = [near_copies.shingles(t) for t in texts]
+    marks = [simhash.fingerprint_of_set(s) for s in sets]
+    assert marks == [simhash.fingerprint(t, near_copies.WORDS) for t in texts]  # no shingle repeats here
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            if bin((marks[i] ^ marks[j]) & (2**64 - 1)).count("1") <= 4 and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    assert 40 < len(set(group)) < 150
+    found = []
+    links = near_copies._simhash_links
+    monkeypatch.setattr(near_copies, "_simhash_links", lambda *a: found.append(links(*a)) or found[0])
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+    near_copies.components(rows).count()
+    named = {r.vertex: r.component for r in connected_components(found[0]).collect()}
+    assert [named.get(i, i) for i in range(len(texts))] == group
