@@ -177,3 +177,20 @@ def test_projects(spark):
     rows = spark.createDataFrame([("E:\\Work\\App",), ("e:/work/app",), ("/home/App/",), ("/home/app",), (None,)], "cwd string")
     found = N.projects_of(rows).collect()
     assert sorted(r.display_name for r in found) == ["App", "App", "app"]
+
+
+def test_objects_are_told_from_all_else_without_their_schema(spark):
+    shapes = {"object": '{"x":[1]}', "empty": "{}", "array": "[]", "text": '"{}"', "number": "5", "null": "null"}
+    docs = spark.createDataFrame([(n, f'{{"payload":{{"info":{v}}}}}') for n, v in shapes.items()] + [("absent", '{"payload":{}}'), ("none", '{"payload":7}')], "name string, line string")
+    parsed = docs.selectExpr("name", "parse_json(line) AS doc").selectExpr("name", f"{N.is_object('payload.info')} AS found")
+    assert {r.name for r in parsed.collect() if r.found} == {"object", "empty"}
+    assert {r.found for r in parsed.collect()} == {True, False}
+    # The schema of an object spells out all that it holds: it was over half the cost of a line.
+    assert "schema_of_variant" not in N.is_object("payload") and N.kind_at("payload.info") not in N.own_reason()
+    texts = [line("session_meta", {"id": "a"})]
+    texts += [f'{{"type":"event_msg","payload":{{"type":"token_count","info":{v}}}}}' for v in shapes.values()]
+    texts += ['{"type":"event_msg","payload":{"type":"token_count"}}', '{"type":"event_msg","payload":7}', '{"type":"turn_context","payload":[]}']
+    assert [(r.kind, r.reason) for r in run(spark, *texts)[1:]] == [
+        ("diagnostic", "usage_fields_missing"), ("diagnostic", "usage_fields_missing"), ("diagnostic", "invalid_usage_info"), ("diagnostic", "invalid_usage_info"),
+        ("diagnostic", "invalid_usage_info"), ("ignored", None), ("diagnostic", "missing_usage_info"), ("diagnostic", "missing_event_payload"), ("diagnostic", "missing_turn_payload"),
+    ]
