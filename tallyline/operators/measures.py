@@ -52,10 +52,13 @@ def with_noncached(facts: DataFrame) -> DataFrame:
     return facts.withColumn("noncached_input", F.expr("input_total - cached_input"))
 
 
-def measure_sums(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: the total, each measure with the tokens it covers, and the counts."""
+def measure_sums(facts: DataFrame, keys: list[str], more: list[str] = []) -> DataFrame:
+    """Per group: the total, each measure with the tokens it covers, and the counts.
+
+    ``more`` are further aggregates as "expression AS name".
+    """
     sums = {"total_tokens": "total_tokens"}
-    others = ["count(1) AS usage_event_count", f"count(CASE WHEN {KNOWN_TURN} THEN 1 END) AS turn_event_count"]
+    others = [*more, "count(1) AS usage_event_count", f"count(CASE WHEN {KNOWN_TURN} THEN 1 END) AS turn_event_count"]
     for m in MEASURES:
         sums[m] = m
         sums[f"{m}_covered"] = f"CASE WHEN {m} IS NOT NULL THEN total_tokens END"

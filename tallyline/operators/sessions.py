@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyline.operators.measures import KNOWN_TURN, merge_partials, partials_by, present_totals
+from tallyline.operators.measures import KNOWN_TURN, measure_sums, merge_partials, partials_by, present_totals
 from tallyline.operators.pages import latest_by
 
 
@@ -124,11 +124,12 @@ def turn_totals(facts: DataFrame) -> DataFrame:
     """Totals per session and named turn with its first and last time."""
     named = facts.where(F.expr(KNOWN_TURN))
     keys = ["session_key", "turn_id"]
-    merged = merge_partials(partials_by(named, keys), keys)
-    times = named.groupBy(*keys).agg(
-        F.expr("min(occurred_at_ms) AS first_at_ms"), F.expr("max(occurred_at_ms) AS last_at_ms")
-    )
-    return present_totals(merged, keys).join(times, keys)
+    # A group is one turn of one session, so nothing distinct is left to count beside the sums.
+    times = ["min(occurred_at_ms) AS first_at_ms", "max(occurred_at_ms) AS last_at_ms"]
+    sums = measure_sums(named.where("session_key IS NOT NULL"), keys, times)
+    counted = sums.withColumns({"session_count": F.lit(1).cast("long"), "turn_count": F.lit(1).cast("long")})
+    shown = present_totals(counted, keys, "first_at_ms", "last_at_ms")
+    return shown.select(*[c for c in shown.columns if c not in ("first_at_ms", "last_at_ms")], "first_at_ms", "last_at_ms")
 
 
 def unidentified_events(facts: DataFrame) -> DataFrame:

@@ -1,6 +1,11 @@
 """Plans of queries that grew too fast: how often they read, parse and shuffle."""
 
-from tallyline.operators import quota
+from pyspark.sql import functions as F
+
+from tallyline.operators import quota, sessions
+from tallyline.sources.tables import UsageTables
+
+DIRECTORY = "/root/testdata/sf0.001"
 
 
 def plan_of(df) -> str:
@@ -30,3 +35,12 @@ def test_odd_readings_keep_their_verdict(spark):
     found = quota.parse_readings(spark.createDataFrame(rows, "account string, seq long, at_ms long, is_read boolean, reading string")).collect()
     shown = {r.seq: [(w.used_percent, w.remaining_percent, w.duration_mins) for w in r.windows] for r in found}
     assert shown == {n: windows for n, (_, windows) in texts.items() if windows is not None}
+
+
+def test_turn_totals_read_and_shuffle_once(spark):
+    """One aggregation by turn: no branch for distinct ids, and no join with the times."""
+    found = sessions.turn_totals(UsageTables(spark, DIRECTORY).facts)
+    plan = plan_of(found)
+    assert plan.count("Aggregate") == 1 and "Join" not in plan and "Union" not in plan
+    counts = found.select(F.min("session_count"), F.max("session_count"), F.min("reliable_turn_count"), F.max("reliable_turn_count")).first()
+    assert tuple(counts) == (1, 1, 1, 1) and found.columns[-2:] == ["first_at_ms", "last_at_ms"]
