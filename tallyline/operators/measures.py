@@ -34,7 +34,10 @@ def limb_sums(value: str, name: str) -> list[Column]:
 def from_limbs(name: str) -> str:
     high, mid, low = (f"CAST({name}__{i} AS DECIMAL(20,0))" for i in (2, 1, 0))
     scale = f"CAST({1 << LIMB_BITS} AS DECIMAL(8,0))"
-    return f"CAST(CAST({high} * {scale} + {mid} AS DECIMAL(30,0)) * {scale} + {low} AS {DEC})"
+    wide = f"CAST(CAST({high} * {scale} + {mid} AS DECIMAL(30,0)) * {scale} + {low} AS {DEC})"
+    # Most sums fit a long, which spares them the arithmetic of big decimals; NULL stays NULL either way.
+    fits = f"{name}__2 = 0 AND {name}__1 < {1 << 40} AND {name}__0 < {1 << 61}"
+    return f"CASE WHEN {fits} THEN CAST({name}__1 * {1 << LIMB_BITS} + {name}__0 AS {DEC}) ELSE {wide} END"
 
 
 def exact_sum(df: DataFrame, keys: list[str], sums: dict[str, str], others: list[str] = []) -> DataFrame:

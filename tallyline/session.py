@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 # Settings that can be changed while a session runs. UTC and ANSI are part of the
 # semantics (exact epoch arithmetic, overflow raises); the rest is physical tuning.
@@ -77,6 +78,23 @@ def cut_sizes(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_sizes(spark: SparkSession):
+    """``cut_sizes`` for a step that a session repeats any number of times: what the yielded function
+    writes goes when the block ends, so nothing lazy may leave the block."""
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+
+    def cut(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.option("compression", "lz4").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield cut
+    finally:
+        _remove(spark, folder)
+
+
 @contextmanager
 def small_methods(spark: SparkSession):
     """For a step whose expressions are very long, written inside the block. Whole-stage code puts
@@ -91,6 +109,12 @@ def small_methods(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows that plans know to be empty and that no task has to make."""
+    nothing = spark.range(1).where("false")
+    return nothing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """This application's folder for tables that end with it."""
     application = spark.sparkContext.applicationId

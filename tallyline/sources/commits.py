@@ -25,6 +25,8 @@ from dataclasses import dataclass, field
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyline.session import empty
+
 OFFSETS = "file_generation_id string, committed_offset long"
 
 
@@ -94,7 +96,7 @@ class CommitLog:
         parts = (revision or self.revision()).parts.get(table, {})
         paths = [f"{self.root}/{table}/commit={folder}" + (f"/{part}" if part else "") for part, folders in parts.items() for folder in folders]
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths).drop("commit")
 
     def offsets(self, revision: Revision | None = None) -> DataFrame:

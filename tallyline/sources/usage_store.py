@@ -11,13 +11,16 @@ the facts of its touched hours; other days keep their files.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tallyline.functions import vectors as V
 from tallyline.model import HOUR_MS, VECTOR_FIELDS
 from tallyline.operators import replay, rollup
 from tallyline.operators.measures import PARTIAL_COUNTS, PARTIAL_SUMS
-from tallyline.session import cut_lineage
+from tallyline.session import cut_lineage, passing_sizes, small_methods
 from tallyline.sources.commits import CommitConflict, CommitLog, Revision
 
 _COUNTS = ", ".join(f"{f} long" for f in VECTOR_FIELDS)
@@ -49,8 +52,8 @@ def columns_of(schema: str) -> list[str]:
 
 def shaped(rows: DataFrame, schema: str) -> DataFrame:
     """``rows`` with exactly the columns of a stored table; what they lack is NULL."""
-    types = rows.sparkSession.createDataFrame([], schema).schema
-    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in types])
+    held = set(rows.columns)
+    return rows.select(*[(F.col(f.name) if f.name in held else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
 
 
 class UsageStore:
@@ -112,18 +115,19 @@ class UsageStore:
         at = self.log.revision()
         if at.writers.get(writer, -1) >= batch:
             return False
-        fresh = cut_lineage(shaped(events, EVENTS))
-        known = self.sessions(at).select("session_key")
-        named = fresh.select("session_key", "ledger_id").distinct()
-        named = named.join(known, "session_key", "left_anti").groupBy("session_key").agg(F.min("ledger_id").alias("ledger_id"))
-        opened = named.withColumn("revision", F.lit(at.number + 1).cast("long"))
-        tables = {
-            "events": fresh, "sessions": shaped(opened, SESSIONS), "pending": pending, "provenance": provenance, "contexts": contexts, "streams": streams,
-        }
-        # An event of a ledger that is not active is kept, but shown and counted nowhere.
-        active = self.sessions(at).unionByName(opened.select("session_key", "ledger_id"))
-        shown = cut_lineage(fresh.join(active, ["session_key", "ledger_id"], "left_semi"))
-        return self._commit(writer, batch, at, tables, touched_hours(shown), shown, expected, offsets)
+        with passing_sizes(self.spark) as cut:
+            fresh = cut(shaped(events, EVENTS))
+            known = self.sessions(at)
+            named = fresh.select("session_key", "ledger_id").distinct()
+            named = named.join(known.select("session_key"), "session_key", "left_anti").groupBy("session_key").agg(F.min("ledger_id").alias("ledger_id"))
+            opened = cut(named.withColumn("revision", F.lit(at.number + 1).cast("long")))
+            tables = {
+                "events": fresh, "sessions": shaped(opened, SESSIONS), "pending": pending, "provenance": provenance, "contexts": contexts, "streams": streams,
+            }
+            # An event of a ledger that is not active is kept, but shown and counted nowhere.
+            active = known.unionByName(opened.select("session_key", "ledger_id"))
+            shown = fresh.join(active, ["session_key", "ledger_id"], "left_semi")
+            return self._commit(writer, batch, at, tables, touched_hours(shown), shown, expected, offsets, cut)
 
     def swap(self, writer: str, batch: int, replayed: replay.Replayed, *, ledger: str, expected: int | None = None) -> bool:
         """Make the result of a replay the active one of its sessions, under new ledgers.
@@ -136,36 +140,48 @@ class UsageStore:
             return False
         named = lambda rows: rows.withColumn("ledger_id", F.expr(ledger))
         fresh = named(replayed.events)
-        fresh = cut_lineage(shaped(fresh.withColumn("event_id", F.concat_ws(":", "ledger_id", "observation_id")), EVENTS))
-        opened = named(replayed.sessions).withColumn("revision", F.lit(at.number + 1).cast("long"))
-        origin = fresh.select("event_id", "observation_id", F.lit("origin").alias("role"))
-        old = self.events(at).join(opened.select("session_key"), "session_key", "left_semi")
-        tables = {
-            "events": fresh, "sessions": shaped(opened, SESSIONS), "pending": shaped(named(replayed.pending), PENDING), "provenance": shaped(origin, PROVENANCE),
-            "contexts": shaped(named(replayed.contexts), CONTEXTS), "streams": shaped(named(replayed.streams), STREAMS),
-        }
-        return self._commit(writer, batch, at, tables, touched_hours(fresh.unionByName(old)), fresh, expected, None, opened.select("session_key"))
-
-    def _commit(self, writer, batch, at, tables, touched, fresh, expected, offsets, moved: DataFrame | None = None) -> bool:
+        fresh = fresh.withColumn("event_id", F.concat_ws(":", "ledger_id", "observation_id"))
+        with passing_sizes(self.spark) as cut:
+            fresh = cut(shaped(fresh, EVENTS))
+            opened = named(replayed.sessions).withColumn("revision", F.lit(at.number + 1).cast("long"))
+            origin = fresh.select("event_id", "observation_id", F.lit("origin").alias("role"))
+            old = self.events(at).join(opened.select("session_key"), "session_key", "left_semi")
+            tables = {
+                "events": fresh, "sessions": shaped(opened, SESSIONS), "pending": shaped(named(replayed.pending), PENDING), "provenance": shaped(origin, PROVENANCE),
+                "contexts": shaped(named(replayed.contexts), CONTEXTS), "streams": shaped(named(replayed.streams), STREAMS),
+            }
+            touched = touched_hours(fresh.unionByName(old))
+            return self._commit(writer, batch, at, tables, touched, fresh, expected, None, cut, opened.select("session_key"))
+
+    def _commit(self, writer, batch, at, tables, touched, fresh, expected, offsets, cut: Callable[[DataFrame], DataFrame], moved: DataFrame | None = None) -> bool:
         rows = {t: shaped(df, SCHEMAS[t]) for t, df in tables.items() if df is not None}
-        touched = cut_lineage(touched)
+        touched = cut(touched)
         days = [r.day for r in touched.select(F.expr(DAY.format("hour_start_ms")).cast("string").alias("day")).distinct().collect()]  # days of this batch
-        hours, turns = self._refreshed(at, touched, fresh, moved, days)
-        return self.log.commit(
-            writer, batch, {**rows, "hours": hours, "turns": turns}, at=at, expected=expected, offsets=offsets,
-            replacing={"hours": days, "turns": days}, partitioned={"hours": "day", "turns": "day"},
-        )
-
-    def _refreshed(self, at: Revision, touched: DataFrame, fresh: DataFrame, moved: DataFrame | None, days: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Cohorts and turns of the touched days: stored where no hour was touched, else from facts."""
+        hours, turns = self._refreshed(at, touched, fresh, moved, days, cut)
+        # Rows of a day meet before they are written: every task would have a file of each day else.
+        by_day = {"hours": hours.hint("rebalance", "day"), "turns": turns.hint("rebalance", "day")}
+        with small_methods(self.spark):
+            return self.log.commit(
+                writer, batch, {**rows, **by_day}, at=at, expected=expected, offsets=offsets,
+                replacing={"hours": days, "turns": days}, partitioned={"hours": "day", "turns": "day"},
+            )
+
+    def _refreshed(
+        self, at: Revision, touched: DataFrame, fresh: DataFrame, moved: DataFrame | None, days: list[str], cut: Callable[[DataFrame], DataFrame]
+    ) -> tuple[DataFrame, DataFrame]:
+        """Cohorts and turns of the touched days: stored where no hour was touched, else from facts.
+
+        ``fresh`` touches all hours it has; only stored facts are compared with the touched ones.
+        """
         stored = self.events(at)
         if moved is not None:
             stored = stored.join(moved, "session_key", "left_anti")
         span = touched.agg(F.min("hour_start_ms").alias("low"), F.max("hour_start_ms").alias("high")).first()
-        facts = stored.unionByName(fresh) if span.low is None else stored.where(f"occurred_at_ms >= {span.low} AND occurred_at_ms < {span.high + HOUR_MS}").unionByName(fresh)
+        if span.low is not None:
+            stored = stored.where(f"occurred_at_ms >= {span.low} AND occurred_at_ms < {span.high + HOUR_MS}")
         hour = F.expr(f"occurred_at_ms - pmod(occurred_at_ms, {HOUR_MS}L)")
-        stale = facts.withColumn("hour_start_ms", hour).join(touched, ["session_key", "hour_start_ms"], "left_semi").drop("hour_start_ms")
-        stale = cut_lineage(stale)
+        beside = stored.withColumn("hour_start_ms", hour).join(touched, ["session_key", "hour_start_ms"], "left_semi").drop("hour_start_ms")
+        stale = cut(beside.unionByName(fresh.where("session_key IS NOT NULL AND occurred_at_ms IS NOT NULL")))
         day = F.expr(DAY.format("hour_start_ms"))
         new = {"hours": rollup.build_rollup(stale).withColumn("day", day), "turns": rollup.build_turns(stale).withColumn("day", day)}
         out = []

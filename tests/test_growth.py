@@ -1,9 +1,15 @@
 """Plans of queries that grew too fast: how often they read, parse and shuffle."""
 
+import glob
+import os
+
 from pyspark.sql import functions as F
 
-from tallyline.operators import quota, sessions
+from tallyline.operators import quota, rollup, sessions
+from tallyline.operators.measures import exact_sum
+from tallyline.session import empty, scratch_dir
 from tallyline.sources.tables import UsageTables
+from tallyline.sources.usage_store import HOURS, UsageStore
 
 DIRECTORY = "/root/testdata/sf0.001"
 
@@ -44,3 +50,32 @@ def test_turn_totals_read_and_shuffle_once(spark):
     assert plan.count("Aggregate") == 1 and "Join" not in plan and "Union" not in plan
     counts = found.select(F.min("session_count"), F.max("session_count"), F.min("reliable_turn_count"), F.max("reliable_turn_count")).first()
     assert tuple(counts) == (1, 1, 1, 1) and found.columns[-2:] == ["first_at_ms", "last_at_ms"]
+
+
+def test_a_batch_writes_a_day_once_and_leaves_nothing_beside(spark, tmp_path):
+    """Files of a batch follow its days and bytes, not days times tasks; what it wrote on the way is gone."""
+    facts = UsageTables(spark, DIRECTORY).facts
+    store = UsageStore(spark, str(tmp_path))
+    before = set(os.listdir(scratch_dir(spark))) if os.path.isdir(scratch_dir(spark)) else set()
+    store.append("load", 0, facts.where("event_number % 10 <> 3").repartition(8))
+    store.append("load", 1, facts.where("event_number % 10 = 3").repartition(8))
+    assert set(os.listdir(scratch_dir(spark))) == before
+    for table in ("hours", "turns"):
+        for folder in glob.glob(f"{tmp_path}/{table}/commit=*/day=*"):
+            assert len(glob.glob(f"{folder}/*.parquet")) == 1
+    whole, held = rollup.build_rollup(facts), store.hours()
+    assert held.select(*whole.columns).exceptAll(whole).isEmpty() and whole.exceptAll(held.select(*whole.columns)).isEmpty()
+
+
+def test_tables_without_rows_need_no_task(spark):
+    """Plans drop what is known to be empty; a made-up table would start a worker per partition."""
+    nothing = empty(spark, HOURS)
+    assert nothing.count() == 0 and "Scan" not in plan_of(nothing) and plan_of(nothing).startswith("LocalRelation <empty>")
+    assert plan_of(spark.range(3).selectExpr("CAST(id AS STRING) AS session_key").join(nothing, "session_key")).startswith("LocalRelation <empty>")
+
+
+def test_sums_are_exact_below_and_above_a_long(spark):
+    most = 2**63 - 1
+    rows = [(1, 5), (1, None), (2, most), (2, most), (3, None), (4, most), (5, 2**62), (5, 2**62), (6, 2**42), (6, 2**21 - 1), (7, 0)]
+    found = exact_sum(spark.createDataFrame(rows, "k int, n long"), ["k"], {"n": "n"})
+    assert {r.k: r.n if r.n is None else int(r.n) for r in found.collect()} == {1: 5, 2: 2 * most, 3: None, 4: most, 5: 2**63, 6: 2**42 + 2**21 - 1, 7: 0}
