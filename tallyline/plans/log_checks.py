@@ -297,7 +297,7 @@ def sequences(spark, directory) -> tuple[DataFrame, DataFrame, DataFrame]:
     copies = base.select("*", F.expr("explode(array('c0', 'c1', 'c2')) AS copy")).where(
         "copy <> 'c1' OR ordinal < n * 2 div 3 OR ordinal = 0"
     )
-    records = cut_lineage(
+    records = cut_sizes(
         copies.selectExpr(
             "concat(session_key, '-', copy) AS sequence_key", "ordinal", "event_time_ms", "last", "cumulative",
             "CASE WHEN copy = 'c2' AND user_id % 5 = 0 AND ordinal >= n div 2 THEN concat(signature, 'x') ELSE signature END AS signature",
@@ -309,7 +309,7 @@ def sequences(spark, directory) -> tuple[DataFrame, DataFrame, DataFrame]:
         "CAST(NULL AS STRING) AS parent_provider_id", "true AS starts_at_head", "true AS scanned", "false AS previously_canonical",
         "copy = 'c1' AND CAST(substring(session_key, 2) AS BIGINT) % 4 = 0 AS has_trusted_history",
     )
-    return cut_lineage(seqs), records, cut_lineage(lineage.proofs(records))
+    return cut_sizes(seqs), records, cut_sizes(lineage.proofs(records))
 
 
 @register(

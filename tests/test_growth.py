@@ -5,8 +5,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from tallyline.operators import quota, rollup, sessions
+from tallyline.operators import lineage, quota, rollup, sessions
 from tallyline.operators.measures import exact_sum
+from tallyline.plans import log_checks
 from tallyline.session import empty, scratch_dir
 from tallyline.sources.tables import UsageTables
 from tallyline.sources.usage_store import HOURS, UsageStore
@@ -79,3 +80,10 @@ def test_sums_are_exact_below_and_above_a_long(spark):
     rows = [(1, 5), (1, None), (2, most), (2, most), (3, None), (4, most), (5, 2**62), (5, 2**62), (6, 2**42), (6, 2**21 - 1), (7, 0)]
     found = exact_sum(spark.createDataFrame(rows, "k int, n long"), ["k"], {"n": "n"})
     assert {r.k: r.n if r.n is None else int(r.n) for r in found.collect()} == {1: 5, 2: 2 * most, 3: None, 4: most, 5: 2**63, 6: 2**42 + 2**21 - 1, 7: 0}
+
+
+def test_copies_are_planned_over_tables_of_known_size(spark):
+    """Checkpoints hand on guessed sizes and whole rows; written steps have sizes and are read by column."""
+    plan = lineage.canonical_plan(*log_checks.sequences(spark, DIRECTORY))
+    assert "RDD" not in plan_of(plan)
+    assert {r.role for r in plan.select("role").distinct().collect()} == {"primary", "member", "isolated"}
