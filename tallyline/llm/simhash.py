@@ -16,6 +16,9 @@ several components; there the fingerprints outside its largest component are joi
 whole cell, with "different components and within 4 bits" in the join condition. So a cell with
 very many near copies costs its rows, not its pairs, and no link between components is lost.
 
+Plans size the rows of all cells as if they were the points, 70 times too few, and would send them
+whole to every executor from the driver. So joins by cell are merge joins, whatever the estimate.
+
 Rows are distinct fingerprints throughout; documents join at the end. All steps are joins,
 minima and counts that combine before the shuffle.
 
@@ -122,13 +125,18 @@ def _cells(points: DataFrame) -> DataFrame:
     return points.withColumn("v", embedding(F.col("fp"))).select(*points.columns, F.explode(keys).alias("cell"))
 
 
+def _by_cell(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a`` and ``b`` joined by cell, never through a broadcast."""
+    return a.hint("merge").join(b.hint("merge"), "cell")
+
+
 def link_components(points: DataFrame) -> DataFrame:
     """``points`` (id, fp), both distinct -> (id, component): the least id reachable by links of
     at most 4 differing bits."""
     dealt = _cells(points.select("fp"))
     heads = dealt.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
     heads = heads.select("cell", F.explode(F.array("lo", "hi")).alias("head"))
-    links = dealt.join(heads, "cell").where(_near("fp", "head") & (F.col("fp") != F.col("head"))).select("fp", "head").distinct()
+    links = _by_cell(dealt, heads).where(_near("fp", "head") & (F.col("fp") != F.col("head"))).select("fp", "head").distinct()
     links = links.join(points.select("fp", F.col("id").alias("a")), "fp").join(points.select(F.col("fp").alias("head"), F.col("id").alias("b")), "head")
     first = stored(connected_components(links.select("a", "b")), "simhash-first")
 
@@ -136,11 +144,11 @@ def link_components(points: DataFrame) -> DataFrame:
     labelled = stored(labelled, "simhash-labelled")
     dealt = _cells(labelled)
     mixed = dealt.groupBy("cell").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("cell")
-    here = stored(dealt.join(mixed, "cell"), "simhash-mixed")
+    here = stored(_by_cell(dealt, mixed), "simhash-mixed")
     sizes = here.groupBy("cell", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
-    others = here.join(largest, "cell").where("component <> largest").select("cell", F.col("fp").alias("other_fp"), F.col("component").alias("other"))
-    more = others.join(here, "cell").where((F.col("other") != F.col("component")) & _near("other_fp", "fp"))
+    others = _by_cell(here, largest).where("component <> largest").select("cell", F.col("fp").alias("other_fp"), F.col("component").alias("other"))
+    more = _by_cell(others, here).where((F.col("other") != F.col("component")) & _near("other_fp", "fp"))
     # Merge the components: their least members are vertices like others.
     second = stored(connected_components(more.select(F.col("other").alias("a"), F.col("component").alias("b")).distinct()), "simhash-second")
     merged = first.join(second.select(F.col("vertex").alias("component"), F.col("component").alias("upper")), "component", "left").select(F.col("vertex").alias("id"), F.coalesce("upper", "component").alias("component"))
@@ -154,7 +162,7 @@ def shared_cells(points: DataFrame) -> DataFrame:
     them, with the least and greatest id there."""
     dealt = _cells(points.select("id", "fp"))
     held = dealt.groupBy("cell").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    return stored(dealt.join(held, "cell").select("cell", "id", "fp", "lo", "hi"), "simhash-cells")
+    return stored(_by_cell(dealt, held).select("cell", "id", "fp", "lo", "hi"), "simhash-cells")
 
 
 def _pairs(a: str, b: str) -> list[Column]:
@@ -164,7 +172,7 @@ def _pairs(a: str, b: str) -> list[Column]:
 def head_pairs(cells: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids at most 4 bits apart: each id of a cell with the cell's two heads."""
     heads = cells.where("id = lo OR id = hi").select("cell", F.col("id").alias("head"), F.col("fp").alias("head_fp"))
-    return cells.join(heads, "cell").where((F.col("id") != F.col("head")) & _near("fp", "head_fp")).select(*_pairs("id", "head")).distinct()
+    return _by_cell(cells, heads).where((F.col("id") != F.col("head")) & _near("fp", "head_fp")).select(*_pairs("id", "head")).distinct()
 
 
 def mixed_pairs(cells: DataFrame, named: DataFrame) -> DataFrame:
@@ -172,11 +180,11 @@ def mixed_pairs(cells: DataFrame, named: DataFrame) -> DataFrame:
     (vertex, component): those outside a cell's largest component with the whole cell."""
     here = cells.join(named.withColumnRenamed("vertex", "id"), "id", "left").select("cell", "id", "fp", F.coalesce("component", "id").alias("component"))
     mixed = here.groupBy("cell").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("cell")
-    here = stored(here.join(mixed, "cell"), "simhash-mixed")
+    here = stored(_by_cell(here, mixed), "simhash-mixed")
     sizes = here.groupBy("cell", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
-    others = here.join(largest, "cell").where("component <> largest").select("cell", F.col("id").alias("other_id"), F.col("fp").alias("other_fp"), F.col("component").alias("other"))
-    met = others.join(here, "cell").where((F.col("other") != F.col("component")) & _near("other_fp", "fp"))
+    others = _by_cell(here, largest).where("component <> largest").select("cell", F.col("id").alias("other_id"), F.col("fp").alias("other_fp"), F.col("component").alias("other"))
+    met = _by_cell(others, here).where((F.col("other") != F.col("component")) & _near("other_fp", "fp"))
     return met.select(*_pairs("other_id", "id")).distinct()
 
 
