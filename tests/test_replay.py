@@ -37,3 +37,35 @@ def test_a_replay_that_sets_a_copy_aside_nowhere_is_not_published(spark, tmp_pat
 def test_a_whole_replay_is_published(spark, tmp_path):
     rows = registry.QUERIES["pipeline_published"](spark, stored_events(spark, tmp_path / "whole")).collect()
     assert {r.session_key for r in rows} >= {f"codex:u{u}" for u in range(7)} and sum(r.events for r in rows) > 84
+
+
+def test_a_replay_leaves_only_what_it_publishes(spark, tmp_path):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from tallyline.session import scratch_dir
+
+    folder = Path(urlparse(scratch_dir(spark)).path)
+    before = set(folder.iterdir()) if folder.exists() else set()
+    events = registry.QUERIES["pipeline_events"](spark, stored_events(spark, tmp_path / "left"))
+    written = [set(spark.read.parquet(str(f)).columns) for f in set(folder.iterdir()) - before]
+    assert written and not [c for c in written if c & {"signature", "line", "header", "request_usage", "arrival"}]
+    assert events.count() > 84
+
+
+def test_a_scan_deals_its_rows_once_and_keeps_null_keys_apart(spark, monkeypatch):
+    from tallyline.operators.scan import chunked_scan
+
+    rows = spark.createDataFrame([(s, n, at) for s in ("a", "", None) for n in (0, None) for at in range(4)], "s string, n long, at long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = chunked_scan(rows, ["s", "n"], "at div 2", ["at"], sums={"upto": "1L"}, previous={"before": "at"})
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4  # rows, chunks, chunks of a group, their carry
+        for r in found.collect():
+            assert (r.upto, r.before) == (r.at + 1, r.at - 1 if r.at else None), r
+        assert found.columns == ["s", "n", "at", "upto", "before"] and found.exceptAll(rows.selectExpr("s", "n", "at", "at + 1", "nullif(at - 1, -1)")).isEmpty()
+        assert found.count() == 24
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
